@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import features, graph, history, models, popularity, similarity, splits, texts
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "features", "graph", "history", "models", "popularity", "similarity", "splits", "texts"]
