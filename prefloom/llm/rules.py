@@ -104,10 +104,14 @@ def all_of(rule: list[Condition], columns: dict[str, Column]) -> Column:
     return out
 
 
+def _bin(value: Column, cuts: list[float]) -> Column:
+    """How many thresholds the value reaches."""
+    return F.size(F.filter(F.array(*[F.lit(t) for t in cuts]).cast("array<double>"), lambda t: t <= value))
+
+
 def _tallies(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
     """For each statistic, how many rejected and other rows lie in each bin between thresholds: one small aggregate."""
-    columns = {s: F.col(s) for s in STATISTICS}
-    cells = [F.struct(F.lit(s).alias("s"), F.size(F.filter(F.array(*[F.lit(t) for t in cuts[s]]).cast("array<double>"), lambda t, c=columns[s]: t <= c)).alias("bin")) for s in STATISTICS]
+    cells = [F.struct(F.lit(s).alias("s"), _bin(F.col(s), cuts[s]).alias("bin")) for s in STATISTICS]
     out = {s: [(0, 0)] * (len(cuts[s]) + 1) for s in STATISTICS}
     for s, b, p, n in rows.select("reject", F.explode(F.array(*cells)).alias("x")).groupBy("x.s", "x.bin").agg(F.sum("reject"), F.sum(1 - F.col("reject"))).collect():
         out[s][b] = (p, n)
