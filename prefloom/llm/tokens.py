@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,8 @@ from .base import shared_path, stored
 CHUNK = 1 << 18
 MAGIC = b"PLNE0001"
 END = 2
-#: Pieces that a worker remembers; it then forgets all.
-MEMO = 1 << 20
+#: Pieces in a generation of what a worker remembers; it has two.
+MEMO = 450_000
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:
@@ -129,15 +129,12 @@ class Reader:
             held = held[n:]
 
 
-#: Where a space or line feed isn't a border of the tokenizer's own pieces: white space beside white space or at an end.
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each different piece once.
 
-    Byte-level pieces never span a single space between other characters, so a text's ids are those of
-    its pieces " word", cut at such spaces and line feeds. Any other text is encoded as a whole.
+    Byte-level pieces never span a single space or line feed between other characters, nor the place
+    where full stops and commas follow a letter, so a text's ids are those of its parts between such
+    places. A text with any other white space is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -147,30 +144,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.memo[p] = array("I", e.ids).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the pieces; those that end in stops after a letter are put together from two parts."""
+        whole, ended = [], []
+        for p in pieces:
+            stem = p.rstrip(".,")
+            if len(stem) < len(p) and stem[-1:].isalpha():
+                ended.append((p, stem, p[len(stem) :]))
+            else:
+                whole.append(p)
+        parts = {x for _, stem, stops in ended for x in (stem, stops)}
+        self._ids([*whole, *parts.difference(self.memo, whole)])
+        for p, stem, stops in ended:
+            self.memo[p] = self.memo[stem] + self.memo[stops]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNSAFE.search(text):
-            return self.whole(text)
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if pieces is None:
-            return self.whole(text)
-        try:
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
-        except KeyError:
-            new = list({p for p in pieces if p not in self.memo})
-            self._learn(new)
-            if len(self.memo) < len(new) or any(p not in self.memo for p in pieces):  # it has just forgotten the others
-                self._learn([p for p in set(pieces) if p not in self.memo])
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
+        words = text.split()
+        if not len(text) - sum(map(len, words)) == len(words) - 1 == text.count(" ") + text.count("\n") or "\0" in text:
+            return self.whole(text)  # other white space, or two beside each other, or at an end
+        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        new = set(pieces).difference(self.memo)
+        if new:
+            if len(self.memo) + len(new) > MEMO:  # the pieces in use come over from the last generation
+                self.old, self.memo, new = self.memo, {}, set(pieces)
+            known = [p for p in new if p in self.old]
+            self.memo.update(zip(known, map(self.old.__getitem__, known)))
+            self._learn(new.difference(known))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
+
+
+#: A worker's encoders, kept from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenizer_path(name: str) -> str:
@@ -192,12 +211,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "by
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        writer, encoder, total = None, Encoder(tokenizer), 0
+        writer, total, encode = None, 0, encoder(tokenizer).encode
         uri = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 writer = writer or Writer(uri, planes)
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 writer.add(doc_id, ids)
                 total += len(ids)
         if writer:
