@@ -168,18 +168,32 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not len(text) - sum(map(len, words)) == len(words) - 1 == text.count(" ") + text.count("\n") or "\0" in text:
-            return self.whole(text)  # other white space, or two beside each other, or at an end
+        if "\0" in text:
+            return self.whole(text)
         pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        new = set(pieces).difference(self.memo)
-        if new:
+        found = list(map(self.memo.get, pieces))
+        if None in found:
+            at = [i for i, ids in enumerate(found) if ids is None]
+            new = {pieces[i] for i in at}
+            if not all(map(_alone, new)):
+                return self.whole(text)
             if len(self.memo) + len(new) > MEMO:  # the pieces in use come over from the last generation
-                self.old, self.memo, new = self.memo, {}, set(pieces)
+                self.old, self.memo = self.memo, {}
             known = [p for p in new if p in self.old]
             self.memo.update(zip(known, map(self.old.__getitem__, known)))
             self._learn(new.difference(known))
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
+            for i in at:
+                found[i] = self.memo[pieces[i]]
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+def _alone(piece: str) -> bool:
+    """Whether a piece can be encoded by itself: a line feed, or characters other than white space after at most one space.
+
+    White space beside white space or at an end leaves a piece that is empty or a space.
+    """
+    rest = piece[1:] if piece[:1] == " " else piece
+    return piece == "\n" or rest.split() == [rest]
 
 
 #: A worker's encoders, kept from task to task.
