@@ -13,7 +13,7 @@ BLANK = " \t\n\x0b\f\r"
 SAMPLE, THRESHOLDS = 50_000, 40
 RULES, CONDITIONS = 12, 3
 #: A rule needs this precision on the rows held for pruning, and must cover so many of the rejected in either part.
-PRECISION, COVER = 0.95, 5
+PRECISION, COVER = 0.99, 5
 STATISTICS = ["n_words", "word_mean", "symbol_share", "upper_share", "dup_line_share", "repeat_share", "mark_share", "digit_share"]
 
 
@@ -202,8 +202,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows get equal values; a null doc_id is only not learned from. Extra columns are not read.
     """
     stats = stored(statistics(docs), "rules-statistics")
-    rules = learn(stats, labels)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rules = learn(stats.where(~failed), labels)  # for what the base leaves to decide
     said = "; ".join(" and ".join(map(str, r)) for r in rules)
     verdict = decision_list(rules, shares(stats))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"), F.lit(said).alias("rule"))
