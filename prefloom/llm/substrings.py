@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import append_columns, lookup, semi, stored
+from .base import append_columns, semi, stored
 from .text import SPACE, Words, mix, sliding, worded
 
 WINDOW, SEED = 35, 12
@@ -168,5 +168,5 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = semi(keyed, ranges, key).join(ranges, key)
     fields = [T.StructField("n_removed", T.LongType()), T.StructField("new_sha256", T.StringType()), T.StructField("spans", SPANS)]
     changed = stored(append_columns(marked, fields, _removal(window)).select(*key, "n_removed", "new_sha256", "spans").dropDuplicates(key), "repeat-changed")
-    out = lookup(seeds.drop("anchors"), changed, key, "left")
+    out = seeds.drop("anchors").join(changed, key, "left")  # spans have no bounded size, so no broadcast
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
