@@ -113,3 +113,28 @@ def labelled_pairs(ratings: DataFrame, items: DataFrame, n: int = 10) -> DataFra
     picked = draws.withColumn("item_no", F.pmod(hash_number(F.concat_ws("_", "k", "draw")), F.col("_items"))).join(items.select("item_no", "item_id"), "item_no").where("item_id <> for_item")
     positive = ratings.select("user_id", "item_id", F.col("item_id").alias("for_item"), F.lit(1).alias("label"))
     return positive.unionByName(picked.select("user_id", "item_id", "for_item", F.lit(0).alias("label")))
+
+
+def interaction_names(features: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``features`` whose name is ``u|i`` with both features' names, empty where a dictionary lacks one."""
+    u = left.select(F.col("fid").cast("string").alias("_u"), F.col("name").alias("left_name"))
+    i = right.select(F.col("fid").cast("string").alias("_i"), F.col("name").alias("right_name"))
+    parts = F.split("name", r"\|")
+    out = features.withColumn("_u", parts[0]).withColumn("_i", F.get(parts, F.lit(1))).join(u, "_u", "left").join(i, "_i", "left")
+    return out.drop("_u", "_i").na.fill("", ["left_name", "right_name"])
+
+
+def prediction_rows(queries: DataFrame, items: DataFrame, item_features: DataFrame) -> DataFrame:
+    """Each query user beside every item with the item's features that a dictionary knows, as an array sorted by id.
+
+    The queries are a stated set; items' features are gathered once, before they meet the users.
+    """
+    lists = item_features.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("fid", "value"))).alias("features"))
+    empty = F.array().cast("array<struct<fid:bigint,value:double>>")
+    rows = items.select("item_id").join(lists, "item_id", "left").select("item_id", F.coalesce("features", empty).alias("features"))
+    return queries.select("user_id").crossJoin(rows)
+
+
+def list_profile(recommended: DataFrame, item_features: DataFrame) -> DataFrame:
+    """How often each feature occurs among recommended items."""
+    return recommended.join(item_features, "item_id").groupBy("name").agg(F.count("*").alias("n"))

@@ -71,6 +71,28 @@ def user_item_interactions(spark, d):
     return f.interactions(order_events(spark, d).select("user_id", "item_id").distinct(), left, right)
 
 
+@query(_ITEM + _DICT + _USER + ", xi AS (SELECT item_id, fid, name FROM fl JOIN di USING (name) WHERE name LIKE 'i\\_b%' ESCAPE '\\'), xu AS (SELECT user_id, fid, name FROM uf JOIN ud USING (name) WHERE name LIKE 'u\\_s%' ESCAPE '\\'), pr AS (SELECT DISTINCT user_id, item_id FROM ev) SELECT xu.fid || '|' || xi.fid AS name, xu.name AS left_name, xi.name AS right_name, count(*) AS n FROM pr JOIN xu USING (user_id) JOIN xi USING (item_id) GROUP BY ALL")
+def interaction_names(spark, d):
+    fi, fu = item_features(spark, d), user_features(spark, d)
+    di, du = dictionary(spark, fi), dictionary(spark, fu)
+    pairs = f.interactions(order_events(spark, d).select("user_id", "item_id").distinct(), f.indexed(fu.where("name like 'u\\\\_s%'"), du), f.indexed(fi.where("name like 'i\\\\_b%'"), di))
+    return f.interaction_names(pairs.groupBy("name").agg(F.count("*").alias("n")), du, di).select("name", "left_name", "right_name", "n")
+
+
+@query(_ITEM + _DICT + ", q AS (SELECT user_id FROM us WHERE user_id % 50 = 0) SELECT user_id, it.item_id, coalesce(string_agg(fid::VARCHAR, ',' ORDER BY fid), '') AS fids FROM q CROSS JOIN it LEFT JOIN (SELECT item_id, fid FROM fl JOIN di USING (name)) x ON x.item_id = it.item_id GROUP BY user_id, it.item_id")
+def prediction_rows(spark, d):
+    feats = item_features(spark, d)
+    rows = f.prediction_rows(users(spark, d).where("user_id % 50 = 0"), items(spark, d), f.indexed(feats, dictionary(spark, feats)))
+    return rows.select("user_id", "item_id", F.array_join(F.transform("features", lambda v: v["fid"].cast("string")), ",").alias("fids"))
+
+
+@query(_ITEM + ", t AS (SELECT item_id FROM (SELECT item_id, count(*) AS n FROM ev GROUP BY item_id ORDER BY n DESC, item_id LIMIT 50)) SELECT name, count(*) AS n FROM t JOIN fl USING (item_id) GROUP BY name")
+def recommended_profile(spark, d):
+    """Features of the fifty most popular items: a report of a top list."""
+    top = order_events(spark, d).groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(50).select("item_id")
+    return f.list_profile(top, item_features(spark, d))
+
+
 @query(_USER + ", a AS (SELECT user_id, fid, value FROM uf JOIN ud USING (name) WHERE name LIKE 'u_seg%'), b AS (SELECT user_id, fid, value FROM uf JOIN ud USING (name) WHERE name LIKE 'u_age%') SELECT a.user_id, 'int_' || a.fid || '_' || b.fid AS name, a.value * b.value AS value FROM a JOIN b USING (user_id)")
 def rule_interactions(spark, d):
     fu = user_features(spark, d)

@@ -70,6 +70,21 @@ def test_hybrid(spark, ratings):
     assert all(r.score is not None for r in scored.collect())
 
 
+def test_registry(spark, ratings, tmp_path):
+    from prefloom.models import registry
+
+    feats = spark.createDataFrame([(u, 1 + u % 2, 1.0) for u in range(8)], "id long, fid long, x double")
+    m = registry.train("HHMFB", ratings, d=2, sweeps=1, user_features=feats)
+    registry.save(m, str(tmp_path / "m"))
+    again = registry.load(spark, str(tmp_path / "m"), ratings, feats)
+    score = lambda x: {(r.user_id, r.item_id): r.score for r in factors.predict(x, ratings).collect()}
+    assert score(again) == pytest.approx(score(m))
+    assert registry.summary(m)["users"] == 8 and registry.top_features(factors.vectors(m), 1).count() == 1
+    assert [s for s, _ in registry.sweep("POP", ratings, {"a": [1, 2]})] == [{"a": 1}, {"a": 2}]
+    with pytest.raises(ValueError):
+        registry.train("none", ratings)
+
+
 @pytest.mark.parametrize("logistic", [False, True])
 def test_implicit(spark, ratings, logistic):
     feats = spark.createDataFrame([(u, k, float((u + k) % 2)) for u in range(8) for k in range(3)], "id long, fid long, x double")
