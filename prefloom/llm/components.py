@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from .base import discard, shared_path, stored_at
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The larger end of each edge moves to the least neighbour of the smaller.
+
+    ``least`` (u, m) is stored, so both sides of the join are plain exchanges: adaptive execution can
+    split a node that a third of the edges point at.
+    """
+    up = least.select(F.col("u").alias("v"), "m")
+    return edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +41,10 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         if tuple(row) == mark or not row[0]:
             return table.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark, old = tuple(row), now
+        least_at = shared_path(spark, name)
+        least = stored_at(table.groupBy("u").agg(F.min("v").alias("m")), least_at)
         now = shared_path(spark, name)
-        table = stored_at(_small_star(_large_star(table)), now)
+        table = stored_at(_small_star(_large_star(table, least)), now)
         discard(spark, old)
+        discard(spark, least_at)
     raise RuntimeError(f"components did not settle in {most} iterations")
