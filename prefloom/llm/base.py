@@ -57,11 +57,29 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+#: Rows of an Arrow batch: with whole texts in them, Spark's default of 10,000 makes batches that workers and executors hold several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` where it has none set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def masked(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` under names that clash with no operator's, but for text, and the columns that restore it."""
+    names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """``df`` with the columns ``fields``, which ``fn`` makes from each Arrow batch.
 
     A column of ``df`` that has the name of a new one is replaced. ``fn`` sees the input columns.
     """
+    small_batches(df.sparkSession)
     keep = without(df, [f.name for f in fields])
     schema = T.StructType([f for f in df.schema if f.name in keep] + fields)
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import append_columns
+from .base import append_columns, masked
 from .text import NOT_ALNUM, Words, worded
 
 WINDOW = 13
@@ -189,5 +189,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, its columns alone, without the contaminated ones."""
-    marked = contamination(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), benchmark)
-    return marked.where(~F.col("contaminated")).select("_row.*")
+    hidden, shown = masked(docs)
+    return contamination(hidden, benchmark).where(~F.col("contaminated")).select(*shown)

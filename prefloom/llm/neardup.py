@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id takes its component from its class (null if the class has no doc_id) and is not kept.
     Rows that repeat a document are all returned, with equal values. Extra columns are not read.
     """
-    feats = stored(features(docs), "neardup-features")
+    feats = stored(features(docs), "neardup-features")  # and small batches from here on
     classes = stored(feats.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")).where("rep is not null"), "neardup-classes")
     node = F.xxhash64("digest")
     seen = feats.where("n_shingles > 0").select(node.alias("node"), F.explode("bands").alias("band"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import append_columns, stored
+from .base import append_columns, masked, small_batches, stored
 from .langid import training_fold
 from .text import SPACE, Words, steps, utf8
 
@@ -67,6 +67,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 df[terms] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "df"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(TRIGRAMS + SHAPES + 1, np.int64)
     for term, n in rows:
@@ -144,7 +145,12 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataF
     neighbours fall by position in the sample, which is ordered by doc_id. Input columns named score or
     predicted are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label))
+    return scored(docs, learn(docs, labels, label))
+
+
+def scored(docs: DataFrame, trained: Model) -> DataFrame:
+    """``docs`` with score and predicted of a trained model, which is broadcast; its size is bounded by SAMPLE, LATENT and the terms."""
+    model = docs.sparkSession.sparkContext.broadcast(trained)
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -156,5 +162,5 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataF
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, its columns alone, without those that the classifier rejects."""
-    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "doc_id", "text")
-    return quality(whole, labels).where("predicted = 1").select("_row.*")
+    hidden, shown = masked(docs)
+    return scored(hidden, learn(docs, labels)).where("predicted = 1").select(*shown)

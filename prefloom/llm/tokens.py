@@ -21,13 +21,13 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .base import shared_path, stored
+from .base import shared_path, small_batches, stored
 
 CHUNK = 1 << 18
 MAGIC = b"PLNE0001"
 END = 2
 #: Pieces in a generation of what a worker remembers; it has two.
-MEMO = 450_000
+MEMO = 300_000
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:
@@ -218,6 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "by
     Rows are dealt by ranges of doc_id (and of text where one doc_id has many rows); a task writes one
     file under a name of its own, so a task that runs twice leaves an orphan, never a torn file.
     """
+    small_batches(docs.sparkSession)
     order = ["doc_id", "text_key"]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).repartitionByRange(*order).sortWithinPartitions(*order)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .base import shared_path, stored
+from .base import shared_path, small_batches, stored
 
 #: Payloads of fewer bytes are never revisits; archives end after so many bytes.
 LEAST_BYTES, ARCHIVE_BYTES = 0, 256 << 20
@@ -52,6 +52,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
     digest is split by the join. A task writes archives under names of its own, so a task that runs
     twice leaves orphans, never torn archives.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     digests = rows.where(F.length("payload") >= least).select("page_id", "sha1")
