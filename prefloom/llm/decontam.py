@@ -121,11 +121,14 @@ def matches(w: Words, bench: Benchmark) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+BEFORE = "_matches_before"
 STATE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType())]))
 STATE_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
-def _search(block):
+def _search(block, last: bool):
+    """A pass over the rows for a block: the matches so far and the block's, and after the last block the verdict."""
+
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         bench, counts, found = block.value, [], []
         for lo, hi, w in worded(batch.column("text"), NOT_ALNUM, True):
@@ -134,14 +137,16 @@ def _search(block):
             for k, i, d, at, n in matches(w, bench):
                 rows[d].append({"start": at, "end": at + n, "item_id": bench.ids[k], "item_start": i})
             found += rows
-        return [pa.array(counts, pa.int64()), pa.array(found, STATE_ARROW)]
+        if BEFORE in batch.schema.names:
+            found = [a + b for a, b in zip(batch.column(BEFORE).to_pylist(), found)]
+        return [pa.array(counts, pa.int64()), pa.array(found, STATE_ARROW), *(_verdict(found) if last else [])]
 
     return run
 
 
-def _verdict(batch: pa.RecordBatch) -> list[pa.Array]:
+def _verdict(found: list[list[dict]]) -> list[pa.Array]:
     hits, items, digests = [], [], []
-    for row in batch.column("matches").to_pylist():
+    for row in found:
         spans = sorted((m["start"], m["end"]) for m in row)
         n, last = 0, 0
         for s, e in spans:
@@ -176,14 +181,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items; repeated items count once by id. Input columns with an output's name are replaced.
     """
     fields = [T.StructField("n_words", T.LongType()), T.StructField("matches", STATE)]
-    out = None
-    for block in blocks_of(benchmark, block_chars, window):
-        before = out
-        out = append_columns(docs if out is None else out.withColumnRenamed("matches", "_matches"), fields, _search(block))
-        if before is not None:
-            out = out.withColumn("matches", F.concat("_matches", "matches")).drop("_matches")
     result = [T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
-    out = append_columns(out, result, _verdict)
+    out, blocks = docs, list(blocks_of(benchmark, block_chars, window))
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        rows = out.withColumnRenamed("matches", BEFORE) if k else out
+        out = append_columns(rows, fields + (result if last else []), _search(block, last)).drop(BEFORE)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
