@@ -27,7 +27,7 @@ CHUNK = 1 << 18
 MAGIC = b"PLNE0001"
 END = 2
 #: Pieces in a generation of what a worker remembers; it has two.
-MEMO = 300_000
+MEMO = 600_000
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:
