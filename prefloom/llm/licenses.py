@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Blocks around license wording are candidates. A block is compressed by itself and with each template
-as raw zstandard dictionary; templates are ranked by how much smaller that makes it. The best are
-confirmed by the exact differences in words.
+Blocks around license wording are candidates. Their words are taken in overlapping pieces. A piece is
+compressed by itself and with each template as raw zstandard dictionary; templates are ranked by how
+much smaller that makes it. The best are confirmed by the exact differences in words.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -42,10 +45,9 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free software|public domain|creative commons|gnu general|mozilla public"
-#: A line up to LINE characters is a block whole, a longer one within REACH of the cue; blocks that close join.
-LINE, REACH, JOIN = 1000, 700, 200
-#: Templates confirmed for a block; the least share by which one must shrink it; differing words allowed for 20 of the template.
+#: Words of a cue may stand on two lines, behind comment marks.
+CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free\W+software|public\W+domain|creative\W+commons|gnu\W+general|mozilla\W+public"
+#: Templates confirmed for a piece; the least share by which one must shrink it unless all its words are there; differing words allowed for 20 of the template.
 CONFIRMED, SHRINK, DIFFER = 4, 0.15, 1
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -54,23 +56,31 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Character ranges around license wording, in order; every cue of the text lies in one."""
+def allowed(template: list[str]) -> int:
+    return DIFFER * len(template) // 20
+
+
+#: Words on both sides of a cue that a block takes in: those of the longest template's wording, and as many again as may be added to it.
+REACH = max(len(t) + 2 * allowed(t) for t in (words(text) for _, text in TEMPLATES))
+
+
+def _blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
+    """Blocks as the character ranges of their words: REACH words on both sides of each cue, joined where they meet."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in spans]
     out: list[list[int]] = []
     for m in re.finditer(CUE, text):
-        lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        hi = len(text) if hi < 0 else hi
-        if hi - lo > LINE:
-            lo, hi = max(lo, m.start() - REACH), min(hi, m.end() + REACH)
-            while lo and not text[lo - 1].isspace():
-                lo -= 1
-            while hi < len(text) and not text[hi].isspace():
-                hi += 1
-        if out and lo <= out[-1][1] + JOIN:
+        lo, hi = max(0, bisect_right(starts, m.start()) - 1 - reach), min(len(spans), bisect_left(starts, m.end()) + reach)
+        if out and lo <= out[-1][1]:
             out[-1][1] = max(hi, out[-1][1])
         else:
             out.append([lo, hi])
-    return [(a, b) for a, b in out]
+    return [spans[a:b] for a, b in out]
+
+
+def blocks(text: str, reach: int = REACH) -> list[tuple[int, int]]:
+    """Character ranges around license wording, in order; every cue of the text lies in one."""
+    return [(b[0][0], b[-1][1]) for b in _blocks(text, reach)]
 
 
 def difference(template: list[str], block: list[str]) -> int:
@@ -83,33 +93,84 @@ def difference(template: list[str], block: list[str]) -> int:
     return (len(template) - matched) + max(0, span - matched - (len(template) - matched))
 
 
+def alignments(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in ``block`` the least edits that make the template of words up to there, and where these words begin."""
+    n, number = len(block), {w: k for k, w in enumerate(dict.fromkeys(block))}
+    own, at = np.array([number[w] for w in block]), np.arange(n + 1)
+    cost, begin = np.zeros(n + 1, np.int64), at
+    for w in template:
+        kept = cost[:-1] + (own != number.get(w, -1))
+        dropped = cost + 1
+        take = kept <= dropped[1:]
+        best, start = dropped.copy(), begin.copy()
+        best[1:][take], start[1:][take] = kept[take], begin[:-1][take]
+        low = np.minimum.accumulate(best - at)  # added words cost one each
+        come = np.maximum.accumulate(np.where(best - at == low, at, 0))
+        cost, begin = low + at, start[come]
+    return cost, begin
+
+
+def apart(taken: list[tuple[int, int]], lo: int, hi: int) -> bool:
+    """Put a range into the sorted ranges ``taken`` unless it overlaps one."""
+    k = bisect_left(taken, (lo, hi))
+    if (k and taken[k - 1][1] > lo) or (k < len(taken) and taken[k][0] < hi):
+        return False
+    taken.insert(k, (lo, hi))
+    return True
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.templates = []
         for name, text in templates:
-            d = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words(text), zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+            own = words(text)
+            raw = " ".join(own).encode()
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.templates.append((name, own, Counter(own), len(self.plain.compress(raw)), zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+        self.reach = max((len(t) + 2 * allowed(t) for _, t, *_ in self.templates), default=0)
+
+    def confirmed(self, own: list[str]) -> list[tuple[int, int, str, float, int]]:
+        """(first word, end, license, share, differing words) of the templates' wording in a piece."""
+        raw, there = " ".join(own).encode(), Counter(own)
+        alone = len(self.plain.compress(raw))
+        # a template is small beside a piece: what counts is the saving beside the template's own size
+        ranked = sorted(((alone - len(z.compress(raw))) / min(alone, size), k) for k, (_, _, _, size, z) in enumerate(self.templates))
+        out, names = [], set()
+        for share, k in sorted(ranked, key=lambda x: (-x[0], x[1])):
+            name, template, counts, *_ = self.templates[k]
+            if len(names) >= CONFIRMED:
+                break
+            limit, missing = allowed(template), sum((counts - there).values())
+            if missing > limit or (missing and share < SHRINK):
+                continue
+            cost, begin = alignments(template, own)
+            found = []
+            for hi in np.flatnonzero(cost <= 2 * limit).tolist():
+                lo = int(begin[hi])
+                part = own[lo:hi]
+                wrong = min(int(cost[hi]), difference(template, part))
+                if wrong <= limit and all(w in part for w in template if any(c.isdigit() for c in w)):
+                    found.append((wrong, lo, hi))
+            taken: list[tuple[int, int]] = []
+            for wrong, lo, hi in sorted(found):
+                if apart(taken, lo, hi):
+                    out.append((lo, hi, name, float(share), wrong))
+                    names.add(name)
+        return out
 
     def scan(self, text: str) -> list[dict]:
-        found = []
-        for lo, hi in blocks(text):
-            part = text[lo:hi].lower()
-            raw, own = part.encode(), words(part)
-            alone = len(self.plain.compress(raw))
-            ranked = sorted(((alone - len(z.compress(raw))) / alone, k) for k, (_, _, z) in enumerate(self.templates))[::-1]
-            # a template is small beside a long block: what counts is the saving beside the template's own size
-            need = {k: min(alone, len(self.plain.compress(" ".join(t).encode()))) for k, (_, t, _) in enumerate(self.templates)}
-            names = set()
-            for share, k in sorted(((s * alone / need[k], k) for s, k in ranked), key=lambda x: (-x[0], x[1])):
-                name, template, _ = self.templates[k]
-                if share < SHRINK or len(names) >= CONFIRMED:
-                    break
-                wrong = difference(template, own)
-                digits = all(w in own for w in template if any(c.isdigit() for c in w))
-                if name not in names and digits and 20 * wrong <= DIFFER * len(template):
-                    names.add(name)
-                    found.append({"start": lo, "end": hi, "license": name, "reduction": float(share), "differences": wrong})
+        found: list[dict] = []
+        for spans in _blocks(text, self.reach):
+            own, places = [text[a:b].lower() for a, b in spans], {}
+            for at in range(0, len(own), 2 * self.reach):  # any wording lies whole in one of the pieces
+                for lo, hi, name, share, wrong in self.confirmed(own[at : at + 3 * self.reach]):
+                    places[at + lo, at + hi, name] = share, wrong
+            kept, taken = [], {}
+            for (lo, hi, name), (share, wrong) in sorted(places.items(), key=lambda x: (x[0][0] - x[0][1], x[1][1], x[0])):
+                if apart(taken.setdefault(name, []), lo, hi):  # a short wording in a longer one of the same license is one place
+                    kept.append((lo, hi, name, share, wrong))
+            found += [{"start": spans[lo][0], "end": spans[hi - 1][1], "license": name, "reduction": share, "differences": wrong} for lo, hi, name, share, wrong in sorted(kept)]
         return found
 
 
@@ -118,7 +179,7 @@ ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("licens
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``docs``, all its columns, with licenses: sorted distinct names, and matches: the blocks they are in.
+    """``docs``, all its columns, with licenses: sorted distinct names, and matches: where their wording stands.
 
     Whole texts are scanned; a text without license wording, an empty or a null one has no license.
     Templates whose confirmed wording ties in a block are all named. An input column of either name is

@@ -228,6 +228,41 @@ def test_blocks_hold_every_cue():
         assert spans == sorted(spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "        // ", " " * 30])
+@pytest.mark.parametrize("width", [70, 74, 80])
+def test_licenses_over_lines(mark, width):
+    """Each template wrapped, behind comment marks and amid code."""
+    import textwrap
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(width)
+    code = "\n".join("x%d = call(%d)" % (k, rng.randrange(99)) for k in range(200))
+    for name, text in licenses.TEMPLATES:
+        for lead in ("", "Some words come before it, and they move where the lines are broken: "):
+            wrapped = "\n".join(mark + line for line in textwrap.wrap(lead + text, width))
+            for whole in (wrapped, f"{code}\n{wrapped}\n{code}", f"{wrapped}\n{mark}\n{mark}Copyright of another text"):
+                assert name in {m["license"] for m in scanner.scan(whole)}, (name, whole[:3000])
+
+
+def test_alignments():
+    """Against the plain edit distance of every part."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = rng.choices("abcd", k=rng.randint(1, 6)), rng.choices("abcde", k=rng.randint(0, 9))
+        cost, begin = licenses.alignments(a, b)
+        for hi in range(len(b) + 1):
+            assert cost[hi] == min(edits(a, b[lo:hi]) for lo in range(hi + 1)) == edits(a, b[begin[hi] : hi])
+
+
 # --- mixing
 
 
