@@ -2,7 +2,7 @@
 
 Blocks around license wording are candidates. Their words are taken in overlapping pieces. A piece is
 compressed by itself and with each template as raw zstandard dictionary; templates are ranked by how
-much smaller that makes it. The best are confirmed by the exact differences in words.
+much smaller that makes it. All that make it enough smaller are confirmed by the exact differences in words.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ TEMPLATES = [
 ]
 #: Words of a cue may stand on two lines, behind comment marks.
 CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free\W+software|public\W+domain|creative\W+commons|gnu\W+general|mozilla\W+public"
-#: Templates confirmed for a piece; the least share by which one must shrink it unless all its words are there; differing words allowed for 20 of the template.
-CONFIRMED, SHRINK, DIFFER = 4, 0.15, 1
+#: The least share by which a template must shrink a piece unless all its words are there; differing words allowed for 20 of the template.
+SHRINK, DIFFER = 0.15, 1
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -136,11 +136,9 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         # a template is small beside a piece: what counts is the saving beside the template's own size
         ranked = sorted(((alone - len(z.compress(raw))) / min(alone, size), k) for k, (_, _, _, size, z) in enumerate(self.templates))
-        out, names = [], set()
+        out = []
         for share, k in sorted(ranked, key=lambda x: (-x[0], x[1])):
             name, template, counts, *_ = self.templates[k]
-            if len(names) >= CONFIRMED:
-                break
             limit, missing = allowed(template), sum((counts - there).values())
             if missing > limit or (missing and share < SHRINK):
                 continue
@@ -156,7 +154,6 @@ class Scanner:
             for wrong, lo, hi in sorted(found):
                 if apart(taken, lo, hi):
                     out.append((lo, hi, name, float(share), wrong))
-                    names.add(name)
         return out
 
     def scan(self, text: str) -> list[dict]:
@@ -182,7 +179,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     """``docs``, all its columns, with licenses: sorted distinct names, and matches: where their wording stands.
 
     Whole texts are scanned; a text without license wording, an empty or a null one has no license.
-    Templates whose confirmed wording ties in a block are all named. An input column of either name is
+    All templates whose wording is confirmed are named, however many. An input column of either name is
     replaced.
     """
     fields = [T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("matches", FOUND)]

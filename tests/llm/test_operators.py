@@ -244,6 +244,16 @@ def test_licenses_over_lines(mark, width):
                 assert name in {m["license"] for m in scanner.scan(whole)}, (name, whole[:3000])
 
 
+def test_licenses_in_one_block():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t) < 120 and n != "Unlicense"]
+    six = [(n, t) for k, (n, t) in enumerate(short) if n not in {m for m, _ in short[:k]}][:6]
+    assert {m["license"] for m in scanner.scan("\n".join(t for _, t in six))} == {n for n, _ in six} and len(six) == 6
+    found = scanner.scan("\n".join(t for _, t in licenses.TEMPLATES * 30))
+    assert {m["license"] for m in found} == {n for n, _ in licenses.TEMPLATES}
+    assert sum(m["license"] == "Unlicense" for m in found) == 30
+
+
 def test_alignments():
     """Against the plain edit distance of every part."""
 
