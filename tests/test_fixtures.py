@@ -80,6 +80,24 @@ def test_cosine(spark):
     assert got[1, 3] == pytest.approx(0.565685) and got[1, 2] == pytest.approx(0.424264) and got[2, 3] == pytest.approx(0.5)
 
 
+def test_all_pairs_of_a_block(spark):
+    """By brute force: more than five neighbours, of other brands too, and those without a common term."""
+    texts = ["red ring", "red bolt", "red gear ring", "blue bolt", "blue gear", "hot ring", "hot red bolt", "", None]
+    d = spark.createDataFrame([(k, t, "c" if k != 3 else "other") for k, t in enumerate(texts)], "id long, t string, c string")
+    terms = {k: t.split() for k, t in enumerate(texts) if t}
+    df = {w: sum(w in t for t in terms.values()) for t in terms.values() for w in t}
+    v = {k: {w: math.log(len(terms) / df[w]) for w in t} for k, t in terms.items()}
+    dot = lambda a, b: sum(x * v[b].get(w, 0) for w, x in v[a].items()) if a in v and b in v else 0
+    block = [k for k in range(len(texts)) if k != 3]
+    got = s.similar_in_block(s.tfidf(s.terms(d, "id", "t"), "id"), d, "id", "c", None).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a in block for b in block if a != b} and len(got) == 8 * 7
+    for r in got:
+        assert r.score == pytest.approx(dot(r.a, r.b) and dot(r.a, r.b) / math.sqrt(dot(r.a, r.a) * dot(r.b, r.b)), abs=2e-6)
+    for a in block:
+        mine = sorted((r for r in got if r.a == a), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 8)) and [(-r.score, r.b) for r in mine] == sorted((-r.score, r.b) for r in mine)
+
+
 def test_category_paths(spark):
     path = F.lit("10-Leaf/20-Mid/30-Root|11-L2/20-Mid")
     assert sorted(one(spark, x.node_ids(x.category_nodes(path)))) == ["10", "11", "20", "30"]
