@@ -98,6 +98,19 @@ def test_all_pairs_of_a_block(spark):
         assert [r["rank"] for r in mine] == list(range(1, 8)) and [(-r.score, r.b) for r in mine] == sorted((-r.score, r.b) for r in mine)
 
 
+def test_negatives_are_complete(spark):
+    """Users who have half, most and nearly all of a catalogue, and a small one; the first draws stay as they were."""
+    have = {1: 100, 2: 120, 3: 199, 4: 200, 5: 3}
+    seen = spark.createDataFrame([(u, i) for u, k in have.items() for i in range(k)], "user_id long, item_id long")
+    items = spark.createDataFrame([(i, i) for i in range(200)], "item_no long, item_id long")
+    for ratio in (1, 3):
+        got = splits.negatives(seen, items, ratio).collect()
+        for u, k in have.items():
+            mine = {r.item_id: r["rank"] for r in got if r.user_id == u}
+            assert len(mine) == min(ratio * k, 200 - k) and all(i >= k for i in mine), (u, ratio)
+            assert sorted(mine.values()) == list(range(1, len(mine) + 1)) and len(mine) == sum(r.user_id == u for r in got)
+
+
 def test_category_paths(spark):
     path = F.lit("10-Leaf/20-Mid/30-Root|11-L2/20-Mid")
     assert sorted(one(spark, x.node_ids(x.category_nodes(path)))) == ["10", "11", "20", "30"]
