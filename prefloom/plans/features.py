@@ -79,6 +79,22 @@ def interaction_names(spark, d):
     return f.interaction_names(pairs.groupBy("name").agg(F.count("*").alias("n")), du, di).select("name", "left_name", "right_name", "n")
 
 
+@query(_ITEM + _DICT + _USER + ", xi AS (SELECT item_id, fid, value FROM fl JOIN di USING (name)), xu AS (SELECT user_id, fid, value FROM uf JOIN ud USING (name)), pr AS (SELECT DISTINCT user_id, item_id FROM ev) SELECT user_id, item_id, xu.fid || '|' || xi.fid AS name, xu.value * xi.value AS value FROM pr JOIN xu USING (user_id) JOIN xi USING (item_id)")
+def user_item_interactions_all(spark, d):
+    """Every user feature with every item feature: the whole of user_item_interactions."""
+    fi, fu = item_features(spark, d), user_features(spark, d)
+    return f.interactions(order_events(spark, d).select("user_id", "item_id").distinct(), f.indexed(fu, dictionary(spark, fu)), f.indexed(fi, dictionary(spark, fi)))
+
+
+@query(_ITEM + _DICT + _USER + ", xi AS (SELECT item_id, fid, name FROM fl JOIN di USING (name)), xu AS (SELECT user_id, fid, name FROM uf JOIN ud USING (name)), pr AS (SELECT DISTINCT user_id, item_id FROM ev) SELECT xu.fid || '|' || xi.fid AS name, xu.name AS left_name, xi.name AS right_name, count(*) AS n FROM pr JOIN xu USING (user_id) JOIN xi USING (item_id) GROUP BY ALL")
+def interaction_names_all(spark, d):
+    """The whole of interaction_names."""
+    fi, fu = item_features(spark, d), user_features(spark, d)
+    di, du = dictionary(spark, fi), dictionary(spark, fu)
+    pairs = f.interactions(order_events(spark, d).select("user_id", "item_id").distinct(), f.indexed(fu, du), f.indexed(fi, di))
+    return f.interaction_names(pairs.groupBy("name").agg(F.count("*").alias("n")), du, di).select("name", "left_name", "right_name", "n")
+
+
 @query(_ITEM + _DICT + ", q AS (SELECT user_id FROM us WHERE user_id % 50 = 0) SELECT user_id, it.item_id, coalesce(string_agg(fid::VARCHAR, ',' ORDER BY fid), '') AS fids FROM q CROSS JOIN it LEFT JOIN (SELECT item_id, fid FROM fl JOIN di USING (name)) x ON x.item_id = it.item_id GROUP BY user_id, it.item_id")
 def prediction_rows(spark, d):
     feats = item_features(spark, d)

@@ -25,3 +25,15 @@ def test_query(spark, small, name):
 @pytest.mark.parametrize("name", ["als_implicit", "l1_logistic"])
 def test_model_rows(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
+
+
+def test_all_interactions(spark, small):
+    """Each pair has a product of each of its user's and its item's features."""
+    from prefloom.plans import features as pf
+
+    pairs = pf.order_events(spark, small).select("user_id", "item_id").distinct()
+    each = pairs.join(pf.user_features(spark, small).groupBy("user_id").count().withColumnRenamed("count", "u"), "user_id").join(pf.item_features(spark, small).groupBy("item_id").count().withColumnRenamed("count", "i"), "item_id")
+    want = each.selectExpr("sum(u * i)").first()[0]
+    assert registry.QUERIES["user_item_interactions_all"](spark, small).count() == want > registry.QUERIES["user_item_interactions"](spark, small).count()
+    names = registry.QUERIES["interaction_names_all"](spark, small)
+    assert names.selectExpr("sum(n)").first()[0] == want and names.where("right_name = 'i_price' and left_name like 'u_age%'").count() > 0
