@@ -104,11 +104,11 @@ def vl_implicit(spark, d):
 
 @query()
 def l1_logistic(spark, d):
-    """Purchased against drawn items, by the item's features."""
+    """Purchased against drawn items, ten a rating, by the item's features."""
     feats = pf.item_features(spark, d).where("name like 'i_brand%' or name like 'i_category%'")
     dic = pf.dictionary(spark, feats)
     rows = f.indexed(feats, dic).groupBy("item_id").agg(F.collect_list(F.struct("fid", F.col("value").alias("fval"))).alias("features"))
-    pairs = f.labelled_pairs(ratings(spark, d), numbered_items(spark, d), 2).join(rows, "item_id")
+    pairs = f.labelled_pairs(ratings(spark, d), numbered_items(spark, d), 10).join(rows, "item_id")
     samples = linear.vectorized(pairs.select("label", "features"), dic.count())
     return linear.feature_weights(linear.l1_logistic(samples), dic)
 

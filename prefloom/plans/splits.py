@@ -71,6 +71,13 @@ def negative_categories_random(spark, d):
     return s.other_categories(p, p.select("category").distinct(), 2)
 
 
+@query(f", p AS (SELECT DISTINCT user_id, ts, category FROM ev), c AS (SELECT DISTINCT category AS negative FROM ev) SELECT user_id, ts, category, negative, 0.05::DOUBLE AS weight FROM p, c WHERE negative <> category QUALIFY row_number() OVER (PARTITION BY user_id, ts, category ORDER BY {_HASH.format(chr(39).join(['(user_id || ', '_', ' || ts || ', '_', ' || category || ', '_', ' || negative)']))}, negative) <= 20")
+def negative_categories_random_20(spark, d):
+    """20 other categories a purchase, all if there are fewer: the whole of negative_categories_random."""
+    p = order_events(spark, d).select("user_id", "ts", "category").distinct()
+    return s.other_categories(p, p.select("category").distinct(), 20)
+
+
 @query(_RATINGS + _ITEM_NO + f""", dr AS (SELECT user_id, item_id AS for_item, unnest(range(1, 11)) AS draw FROM ra),
 pk AS (SELECT user_id, for_item, {_HASH.format("(user_id || '_' || for_item || '_' || draw)")} % (SELECT count(*) FROM it) AS item_no FROM dr)
 SELECT user_id, item_id, item_id AS for_item, 1 AS label FROM ra UNION ALL SELECT user_id, item_id, for_item, 0 FROM pk JOIN itn USING (item_no) WHERE item_id <> for_item""")

@@ -37,3 +37,22 @@ def test_all_interactions(spark, small):
     assert registry.QUERIES["user_item_interactions_all"](spark, small).count() == want > registry.QUERIES["user_item_interactions"](spark, small).count()
     names = registry.QUERIES["interaction_names_all"](spark, small)
     assert names.selectExpr("sum(n)").first()[0] == want and names.where("right_name = 'i_price' and left_name like 'u_age%'").count() > 0
+
+
+def test_numbers_of_negatives(spark, small, monkeypatch):
+    """All five other categories of the test tables for a purchase, and ten draws for a rating of the model."""
+    n = registry.QUERIES["negative_categories_random_20"](spark, small).groupBy("user_id", "ts", "category").count()
+    assert {r["count"] for r in n.select("count").distinct().collect()} == {5}
+    from prefloom.plans import models
+
+    real, drawn = models.f.labelled_pairs, []
+
+    def pairs(*args):
+        drawn.append(real(*args))
+        raise InterruptedError
+
+    monkeypatch.setattr(models.f, "labelled_pairs", pairs)
+    with pytest.raises(InterruptedError):
+        registry.QUERIES["l1_logistic"](spark, small)
+    labels = {r.label: r["count"] for r in drawn[0].groupBy("label").count().collect()}
+    assert 9 * labels[1] < labels[0] <= 10 * labels[1]
