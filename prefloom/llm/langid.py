@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .base import append_columns, stored
 from .text import utf8
 
-#: Bounds of what is learned: whole texts of each language, characters of such a text, bytes of a dictionary, languages.
+#: Bounds of what is learned: texts of each language, characters of a text that is taken first, bytes of a dictionary, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 100, (20, 5_000), 8_000, 200
 #: A text is compressed in blocks of so many bytes, so that the dictionaries matter in all of it.
 BLOCK, LEVEL = 4096, 5
@@ -38,17 +38,21 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """A raw-content dictionary for each lang, the most common first, from whole training texts: the
-    SAMPLE_DOCS with the least hashes among those of SAMPLE_CHARS characters. Only their texts are gathered."""
-    rows = docs.where(training_fold() & F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS)).select("doc_id", "lang")
-    ranked = rows.selectExpr("*", "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) AS n").where(F.col("n") <= SAMPLE_DOCS)
-    chosen = ranked.groupBy("lang").agg(F.collect_set("doc_id").alias("ids")).orderBy("lang").limit(LANGUAGES)  # each at most SAMPLE_DOCS ids
-    chosen = stored(chosen.select("lang", F.explode("ids").alias("doc_id")), "langid-sample")
-    texts = docs.where(F.length("text").between(*SAMPLE_CHARS)).join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
+    """A raw-content dictionary for each lang, the most common LANGUAGES and these first, from training texts: the
+    SAMPLE_DOCS with the least hashes among those of SAMPLE_CHARS characters; for a lang that has none of these among
+    its others, as far as SAMPLE_CHARS goes. Only their texts are gathered."""
+    fits = F.length("text").between(*SAMPLE_CHARS)
+    sized = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("fits", fits)
+    rows = sized.where(training_fold()).select("doc_id", "lang", "fits")
+    ranked = rows.selectExpr("*", "row_number() over (partition by lang order by fits desc, xxhash64(doc_id), doc_id) AS n").where(F.col("n") <= SAMPLE_DOCS)
+    chosen = ranked.groupBy("lang").agg(F.max("fits").alias("fits"), F.collect_set(F.when(F.col("fits"), F.col("doc_id"))).alias("fit"), F.collect_set("doc_id").alias("all"))  # each at most SAMPLE_DOCS ids
+    common = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    chosen = chosen.where(F.col("lang").isin(list(common))).select("lang", "fits", F.explode(F.when(F.col("fits"), F.col("fit")).otherwise(F.col("all"))).alias("doc_id"))
+    chosen = stored(chosen, "langid-sample")
+    texts = sized.join(F.broadcast(chosen), ["lang", "doc_id", "fits"], "left_semi").select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS[1]).alias("text"))
     parts: dict[str, list[str]] = {}
     for lang, _, text in sorted(tuple(r) for r in texts.collect()):
         parts.setdefault(lang, []).append(text.lower())
-    common = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     return {lang: dictionary(parts[lang]) for lang in sorted(parts, key=lambda x: (-common.get(x, 0), x))}
 
 

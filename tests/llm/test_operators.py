@@ -406,3 +406,15 @@ def test_exact_neighbours():
         w = [max(c, 0) ** quality.SHARP for c, _ in near]
         assert got[k] == pytest.approx(sum(a * y for a, (_, y) in zip(w, near)) / sum(w), abs=1e-3)
     assert got[-1] == got[-2] == m.prior
+
+
+def test_languages_of_long_and_short_texts(spark, monkeypatch):
+    """A language whose texts are all too long or too short is learned too; beyond the bound the most common stay."""
+    words = {"mid": "alpha beta gamma delta", "long": "uno dos tres cuatro", "short": "eins zwei"}
+    docs = [(k, lang, f"{words[lang]} " * (2000 if lang == "long" else 10) if lang != "short" else words[lang]) for k, lang in enumerate(["mid"] * 30 + ["long"] * 20 + ["short"] * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    learned = langid.learn(df)
+    assert set(learned) == set(words) and set(learned["long"].decode().split()) == set(words["long"].split())
+    assert {(r.lang, r.lang_pred) for r in langid.languages(df).collect()} == {(x, x) for x in words}
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert set(langid.learn(df)) == {"mid", "short"}
