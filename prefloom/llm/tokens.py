@@ -134,7 +134,8 @@ class Encoder:
 
     Byte-level pieces never span a single space or line feed between other characters, nor the place
     where full stops and commas follow a letter, so a text's ids are those of its parts between such
-    places. A text with any other white space is encoded as a whole.
+    places. A text with any other white space is encoded as a whole. The name of an added token in a text,
+    such as <|endoftext|>, is ordinary text (encode_special_tokens), not that token's id as by the library's default.
     """
 
     def __init__(self, path: str):
