@@ -12,7 +12,6 @@ import json
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +21,22 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .base import shared_path, small_batches, stored
+from .text import SPACE, Words, constants, steps, utf8
 
 CHUNK = 1 << 18
 MAGIC = b"PLNE0001"
 END = 2
-#: Pieces in a generation of what a worker remembers; it has two.
-MEMO = 600_000
+#: What a worker remembers of pieces: slots of the table (14 bytes each, half of them filled), ids (4 bytes each). 122 MB.
+SLOTS, IDS = 1 << 22, 16_000_000
+#: Bytes of the longest piece that is remembered.
+LONGEST = 64
+#: Full stops and commas are cut off words.
+STOPS = ".,"
+IS_STOP, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+IS_STOP[[ord(c) for c in STOPS]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Added to a word's fingerprint by what stands before it: nothing, a space, a line feed.
+KINDS = constants(3, 17)
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:
@@ -129,82 +138,184 @@ class Reader:
             held = held[n:]
 
 
+def _gap(kind: int) -> str:
+    """What a piece begins with: the text, a space, a line feed."""
+    return ("", " ", "\n")[kind]
+
+
+class Memory:
+    """Ids of pieces by 64-bit fingerprint: an open-addressed table and one run of ids, both of fixed size.
+
+    A piece that can't be encoded by itself has length -1. What doesn't fit any more clears the memory.
+    """
+
+    def __init__(self, slots: int, ids: int):
+        self.slots, self.most = np.uint64(slots - 1), slots // 2
+        self.keys, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.int16)
+        self.ids, self.used, self.end = np.zeros(ids, np.uint32), 0, 0
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.used = self.end = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each key, or the empty one where its search ends; and whether it is there."""
+        slot = keys & self.slots
+        held = self.keys[slot]
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + np.uint64(1)) & self.slots
+            held = self.keys[slot[todo]]
+            todo = todo[(held != keys[todo]) & (held != 0)]
+        return slot, self.keys[slot] == keys
+
+    def add(self, keys: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        """Put in distinct keys that aren't there, with ``n`` ids each, of ``flat``."""
+        at = self.end + np.concatenate([[0], np.cumsum(np.maximum(n, 0))[:-1]])
+        self.ids[self.end : self.end + len(flat)] = flat
+        self.end += len(flat)
+        self.used += len(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            slot, _ = self.find(keys[left])
+            _, first = np.unique(slot, return_index=True)  # of keys that end at one slot, one takes it
+            now = left[first]
+            self.keys[slot[first]], self.at[slot[first]], self.n[slot[first]] = keys[now], at[now], n[now]
+            left = np.delete(left, first)
+
+    def fits(self, keys: int, ids: int) -> bool:
+        return self.used + keys <= self.most and self.end + ids <= len(self.ids)
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each different piece once.
+    """Ids of whole texts by the tokenizers library, which sees each different piece about once.
 
     Byte-level pieces never span a single space or line feed between other characters, nor the place
-    where full stops and commas follow a letter, so a text's ids are those of its parts between such
-    places. A text with any other white space is encoded as a whole. The name of an added token in a text,
-    such as <|endoftext|>, is ordinary text (encode_special_tokens), not that token's id as by the library's default.
+    where a full stop or comma follows a letter and ends a word, so a text's ids are those of its parts
+    between such places. A text with any other white space, or with the name of an added token, is encoded
+    as a whole. ``special``: whether the name of an added token, such as <|endoftext|>, is that token's
+    id, as by the library's default, or ordinary text.
+
+    Pieces are known by 64-bit fingerprints. The memory has a fixed size in bytes (``SLOTS`` and ``IDS``),
+    and longer pieces than ``LONGEST`` bytes aren't remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.memo[p] = array("I", e.ids).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the pieces; those that end in stops after a letter are put together from two parts."""
-        whole, ended = [], []
-        for p in pieces:
-            stem = p.rstrip(".,")
-            if len(stem) < len(p) and stem[-1:].isalpha():
-                ended.append((p, stem, p[len(stem) :]))
-            else:
-                whole.append(p)
-        parts = {x for _, stem, stops in ended for x in (stem, stops)}
-        self._ids([*whole, *parts.difference(self.memo, whole)])
-        for p, stem, stops in ended:
-            self.memo[p] = self.memo[stem] + self.memo[stops]
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = [c.encode() for c in self.added if c.split() != [c]]
+        self.memory = Memory(SLOTS, IDS)
+        self.stop = np.zeros(256, np.uint32)
+        for c in STOPS:
+            (self.stop[ord(c)],) = self.whole(c)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        if "\0" in text:
-            return self.whole(text)
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        found = list(map(self.memo.get, pieces))
-        if None in found:
-            at = [i for i, ids in enumerate(found) if ids is None]
-            new = {pieces[i] for i in at}
-            if not all(map(_alone, new)):
-                return self.whole(text)
-            if len(self.memo) + len(new) > MEMO:  # the pieces in use come over from the last generation
-                self.old, self.memo = self.memo, {}
-            known = [p for p in new if p in self.old]
-            self.memo.update(zip(known, map(self.old.__getitem__, known)))
-            self._learn(new.difference(known))
-            for i in at:
-                found[i] = self.memo[pieces[i]]
-        return np.frombuffer(b"".join(found), "<u4")
+        return next(self.texts(pa.array([text], pa.string())))
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, in order; a null is empty."""
+        off, data = utf8(column)
+        for lo, hi in steps(off):
+            yield from self._step(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+
+    def _step(self, seg: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        blank, n = SPACE[seg], len(bounds) - 1
+        first, last = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0] - 1
+        # white space other than a space or line feed between two other characters makes its text whole
+        odd = blank & (seg != 0x20) & (seg != 0x0A)
+        odd[1:] |= blank[1:] & blank[:-1]
+        odd[first] |= blank[first]
+        odd[last] |= blank[last]
+        apart = np.zeros(n, bool)
+        apart[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = True
+        for name in self.spaced:
+            apart |= np.array([name in seg[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], bool)
+        ends = np.zeros(len(seg) + 1, bool)  # a stop after a letter, at the end of a word
+        if len(seg):
+            ends[1 : len(seg)] = IS_STOP[seg[1:]] & LETTER[seg[:-1]]
+            ends[: len(seg) - 1] &= blank[1:] | np.isin(np.arange(1, len(seg)), first)
+            ends[first] = False
+        cut = np.where(ends[:-1], np.uint8(0x20), seg)
+        w = Words(cut, bounds, SPACE, False)
+        kind = np.zeros(len(w.hash), np.int64)
+        if len(kind):
+            before = seg[np.maximum(w.starts - 1, 0)]
+            kind = np.where(before == 0x0A, 2, 1)
+            kind[np.isin(w.starts, first)] = 0
+        with np.errstate(over="ignore"):
+            keys = np.maximum(w.hash + KINDS[kind], np.uint64(1))
+        slot, known = self.memory.find(keys)
+        if not known.all():
+            extra = self._learn(keys, ~known, kind, w, seg)
+            slot, known = self.memory.find(keys)
+        else:
+            extra = {}
+        size = np.where(known, self.memory.n[slot], 0).astype(np.int64)
+        for k in np.flatnonzero(~known).tolist():
+            size[k] = len(extra[int(keys[k])]) if extra[int(keys[k])] is not None else -1
+        text_of = np.repeat(np.arange(n), w.counts)
+        apart[text_of[size < 0]] = True
+        size = np.maximum(size, 0)
+        stopped = ends[w.ends]
+        total = size + stopped
+        begin = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.uint32)
+        put = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        own = np.repeat(known, size)
+        source = (np.repeat(self.memory.at[slot].astype(np.int64), size) + put)[own]
+        place = np.repeat(begin, size) + put
+        out[place[own]] = self.memory.ids[source]
+        for k in np.flatnonzero(~known & (size > 0)).tolist():
+            out[begin[k] : begin[k] + size[k]] = extra[int(keys[k])]
+        out[(begin + size)[stopped]] = self.stop[seg[w.ends[stopped]]]
+        at = np.concatenate([begin, [len(out)]])[w.ptr]
+        for d in range(n):
+            yield self.whole(seg[bounds[d] : bounds[d + 1]].tobytes().decode()) if apart[d] else out[at[d] : at[d + 1]]
+
+    def _learn(self, keys: np.ndarray, new: np.ndarray, kind: np.ndarray, w: Words, seg: np.ndarray) -> dict[int, np.ndarray | None]:
+        """Encode the pieces that are new, each once, and remember them; those that aren't remembered are returned."""
+        rows = np.flatnonzero(new)
+        keys_, at = np.unique(keys[rows], return_index=True)
+        rows = rows[at]
+        pieces = [_gap(k) + seg[a:b].tobytes().decode() for k, a, b in zip(kind[rows].tolist(), w.starts[rows].tolist(), w.ends[rows].tolist())]
+        fine = [_alone(p) and not any(c in p for c in self.added) for p in pieces]
+        ids = iter(self.tokenizer.encode_batch_fast([p for p, f in zip(pieces, fine) if f], add_special_tokens=False))
+        found = [next(ids).ids if f else None for f in fine]
+        n = np.array([-1 if x is None else len(x) for x in found])
+        short = (w.ends[rows] - w.starts[rows] <= LONGEST) & (n <= LONGEST)
+        flat = np.array([i for x, s in zip(found, short) if s and x is not None for i in x], np.uint32)
+        if not self.memory.fits(int(short.sum()), len(flat)):
+            short &= False
+            gone = ~new if self.memory.used else np.zeros(len(new), bool)  # the step's other pieces: learned again
+            self.memory.clear()
+            again = self._learn(keys, gone, kind, w, seg) if gone.any() else {}
+        else:
+            self.memory.add(keys_[short], n[short], flat)
+            again = {}
+        return again | {int(k): None if x is None else np.array(x, np.uint32) for k, x, s in zip(keys_, found, short) if not s}
 
 
 def _alone(piece: str) -> bool:
-    """Whether a piece can be encoded by itself: a line feed, or characters other than white space after at most one space.
-
-    White space beside white space or at an end leaves a piece that is empty or a space.
-    """
-    rest = piece[1:] if piece[:1] == " " else piece
-    return piece == "\n" or rest.split() == [rest]
+    """Whether a piece can be encoded by itself: characters other than white space after at most one space or line feed."""
+    rest = piece[1:] if piece[:1] in (" ", "\n") else piece
+    return rest.split() == [rest]
 
 
 #: A worker's encoders, kept from task to task.
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def tokenizer_path(name: str) -> str:
@@ -213,7 +324,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "byte", end: int = END) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "byte", end: int = END, special: bool = True) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order; a stored table (path, shard, n_tokens) of the files.
 
     Rows are dealt by ranges of doc_id (and of text where one doc_id has many rows); a task writes one
@@ -227,12 +338,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "by
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        writer, total, encode = None, 0, encoder(tokenizer).encode
+        writer, total, texts = None, 0, encoder(tokenizer, special).texts
         uri = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 writer = writer or Writer(uri, planes)
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 writer.add(doc_id, ids)
                 total += len(ids)
         if writer:
@@ -269,15 +380,16 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None, planes: str = "byte", end: int = END) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str | None = None, planes: str = "byte", end: int = END, special: bool = True) -> DataFrame:
     """One row per row of ``docs`` from its files: doc_id, start, n_tokens, ids_crc32.
 
-    A null text is empty and has its end id alone. Null doc_ids come first; rows with one doc_id follow
+    A text's ids are the tokenizers library's; the name of an added token in it is that token's id unless
+    ``special`` is false. A null text is empty and has its end id alone. Null doc_ids come first; rows with one doc_id follow
     each other by a hash of the text, repeated rows with equal ids. Empty tables make no file and no row.
     Extra columns are not read.
     """
     folder = shared_path(docs.sparkSession, "token-shards")
-    return read_tokens(write_tokens(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), folder, planes, end))
+    return read_tokens(write_tokens(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), folder, planes, end, special))
 
 
 __all__ = ["Encoder", "Reader", "Writer", "read_tokens", "token_table", "write_tokens"]
