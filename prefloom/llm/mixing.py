@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import stored
+from .base import masked, stored
 
 #: A rate above this is a sum of equal independent parts, each inverted on its own seed.
 PART = 8.0
@@ -55,17 +55,34 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     """``docs`` with each row repeated by its Poisson count, in a global order by hash; new columns copy, mix_key.
 
     The count is seeded by doc_id alone, so it is the same on any partitioning. mix_key orders the whole
-    result; ties fall by doc_id and copy.
+    result; ties fall by doc_id, copy and the text's hash.
 
-    Null doc_ids all take the count of an empty id; a null source is a source of its own. Repeated rows
-    get equal counts, each for itself. Texts don't matter. Without documents or weights the result is
-    empty. Input columns named copy or mix_key are replaced.
+    A row without doc_id is seeded by a hash of its text in place of the id, so such rows get counts and places of
+    their own; a null source is a source of its own. Repeated rows get equal counts, each for itself. Empty and null
+    texts are as others. Without documents or weights the result is empty. Input columns named copy or mix_key
+    are replaced; other names are free.
     """
-    rates = stored(source_rates(docs, weights, epochs, power).select(F.col("source").alias("_source"), "rate"), "mix-rates")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    rated = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    counted = rated.withColumn("_n", poisson(F.col("rate"), key, seed)).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.col("copy").cast("string"), F.lit(seed + "-order")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return copies.withColumn("mix_key", order).select(*kept, "copy", "mix_key").orderBy("mix_key", "doc_id", "copy")
+    out, shown = _mixed(docs, weights, epochs, power, seed)
+    kept = [c for c, name in zip(shown, docs.columns) if name.lower() not in ("copy", "mix_key")]
+    return out.select(*kept, F.col("_copy").alias("copy"), F.col("_mix_key").alias("mix_key"))
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, power: float = 0.5, seed: str = "mix-1") -> DataFrame:
+    """``mixed`` with the columns of ``docs`` alone, as they were."""
+    out, shown = _mixed(docs, weights, epochs, power, seed)
+    return out.select(*shown)
+
+
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, epochs: float, power: float, seed: str) -> tuple[DataFrame, list[Column]]:
+    """The copies in order under masked names, with _copy and _mix_key, and the columns that restore the input's."""
+    rates = stored(source_rates(docs.select("source"), weights, epochs, power).select("source", "rate"), "mix-rates").toDF("_source", "_rate")
+    hidden, shown = masked(docs)
+    at = {name.lower(): column for column, name in zip(hidden.columns, docs.columns)}
+    key = F.coalesce(F.col(at["doc_id"]).cast("string"), F.concat(F.lit("text "), F.coalesce(F.xxhash64(at["text"]), F.lit(0)).cast("string")) if "text" in at else F.lit(""))
+    rated = hidden.join(rates, F.col(at["source"]).eqNullSafe(F.col("_source")))
+    counted = rated.withColumn("_n", poisson(F.col("_rate"), key, seed)).where("_n > 0")
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.col("_copy").cast("string"), F.lit(seed + "-order")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    copies = copies.withColumn("_mix_key", order)
+    ties = [F.xxhash64(at["text"])] if "text" in at else []
+    return copies.orderBy("_mix_key", at["doc_id"], "_copy", *ties), shown
