@@ -49,8 +49,9 @@ def repeat_words(words: Column, width: int = 5) -> Column:
         return bound(bound(pairs, places), count)
 
     def several(ws: Column) -> Column:
-        prints = F.transform(F.sequence(F.lit(1), F.size(ws) - F.lit(width - 1)), lambda i: F.xxhash64(F.slice(ws, i, width)))
-        return bound(prints, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
+        own = F.transform(ws, lambda w: F.xxhash64(w))  # a word is hashed once, not once for each of its windows
+        runs = bound(own, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - F.lit(width)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)])))
+        return bound(runs, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
 
     return F.when(F.size(words) < width, none).otherwise(several(words))
 
@@ -61,11 +62,19 @@ def statistics(docs: DataFrame) -> DataFrame:
     Null has no words, lines or characters.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANK, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     dup = bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    made = bound(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
-    return docs.select("doc_id", made.alias("_w"), F.length(F.translate(text, BLANK, "")).cast("long").alias("word_chars"), count("#*$%&|<>").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), count("!?.,;:").alias("n_marks"), count("0123456789").alias("n_digits")).select("doc_id", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", "n_upper", "n_marks", "n_digits")
+    words = bound(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
+    # most characters are small letters: a pass drops them, and the counts are of what is left
+    small = bound(F.translate(text, "abcdefghijklmnopqrstuvwxyz", ""), lambda r: F.struct((F.length(text) - F.length(r)).alias("n"), F.translate(r, BLANK, "").alias("rest")))
+
+    def counts(x: Column) -> Column:
+        of = lambda chars: (F.length(x["rest"]) - F.length(F.translate(x["rest"], chars, ""))).cast("long")
+        chars = (x["n"] + F.length(x["rest"])).cast("long")
+        return F.struct(chars.alias("word_chars"), of("#*$%&|<>").alias("n_symbols"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), of("!?.,;:").alias("n_marks"), of("0123456789").alias("n_digits"))
+
+    made = docs.select("doc_id", words.alias("_w"), bound(small, counts).alias("_c"), dup.cast("long").alias("n_dup_lines"))
+    return made.select("doc_id", "_w.n_words", "_c.word_chars", "_c.n_symbols", "n_dup_lines", "_w.n_repeat_words", "_c.n_upper", "_c.n_marks", "_c.n_digits")
 
 
 def shares(stats: DataFrame) -> dict[str, Column]:
