@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .base import append_columns, stored
 from .text import utf8
 
-#: Bounds of what is learned: texts of each language, characters of a text that is taken first, bytes of a dictionary, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, LANGUAGES = 100, (20, 5_000), 8_000, 200
+#: Bounds of what is learned: texts of each language, characters of a text that is taken first, bytes of a dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 100, (20, 5_000), 8_000
+#: So many languages can be told apart, as all dictionaries go to every task; more are an error, never dropped.
+LANGUAGES = 5_000
 #: A text is compressed in blocks of so many bytes, so that the dictionaries matter in all of it.
 BLOCK, LEVEL = 4096, 5
 #: A lead below this share of the smallest size is too narrow for a verdict.
@@ -38,22 +40,27 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """A raw-content dictionary for each lang, the most common LANGUAGES and these first, from training texts: the
-    SAMPLE_DOCS with the least hashes among those of SAMPLE_CHARS characters; for a lang that has none of these among
-    its others, as far as SAMPLE_CHARS goes. Only their texts are gathered."""
+    """A raw-content dictionary for each lang, the most common first, from training texts: the SAMPLE_DOCS with the
+    least hashes among those of SAMPLE_CHARS characters; for a lang that has none of these among its others, as far
+    as SAMPLE_CHARS goes. Only dictionaries reach the driver. More than LANGUAGES languages raise an error."""
     fits = F.length("text").between(*SAMPLE_CHARS)
-    sized = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("fits", fits)
-    rows = sized.where(training_fold()).select("doc_id", "lang", "fits")
-    ranked = rows.selectExpr("*", "row_number() over (partition by lang order by fits desc, xxhash64(doc_id), doc_id) AS n").where(F.col("n") <= SAMPLE_DOCS)
-    chosen = ranked.groupBy("lang").agg(F.max("fits").alias("fits"), F.collect_set(F.when(F.col("fits"), F.col("doc_id"))).alias("fit"), F.collect_set("doc_id").alias("all"))  # each at most SAMPLE_DOCS ids
-    common = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    chosen = chosen.where(F.col("lang").isin(list(common))).select("lang", "fits", F.explode(F.when(F.col("fits"), F.col("fit")).otherwise(F.col("all"))).alias("doc_id"))
-    chosen = stored(chosen, "langid-sample")
-    texts = sized.join(F.broadcast(chosen), ["lang", "doc_id", "fits"], "left_semi").select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS[1]).alias("text"))
-    parts: dict[str, list[str]] = {}
-    for lang, _, text in sorted(tuple(r) for r in texts.collect()):
-        parts.setdefault(lang, []).append(text.lower())
-    return {lang: dictionary(parts[lang]) for lang in sorted(parts, key=lambda x: (-common.get(x, 0), x))}
+    sized = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text", fits.alias("_fits"))
+    rows = sized.where(training_fold()).select("doc_id", "lang", "_fits")
+    common = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
+    if len(common) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages to learn")
+    ranked = rows.selectExpr("*", "row_number() over (partition by lang order by _fits desc, xxhash64(doc_id), doc_id) AS _n").where(F.col("_n") <= SAMPLE_DOCS)
+    chosen = ranked.groupBy("lang").agg(F.max("_fits").alias("_fits"), F.collect_set(F.when(F.col("_fits"), F.col("doc_id"))).alias("fit"), F.collect_set("doc_id").alias("all"))  # each at most SAMPLE_DOCS ids
+    chosen = stored(chosen.select("lang", "_fits", F.explode(F.when(F.col("_fits"), F.col("fit")).otherwise(F.col("all"))).alias("doc_id")), "langid-sample")
+    texts = sized.join(F.broadcast(chosen), ["lang", "doc_id", "_fits"], "left_semi").groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS[1])).alias("text"))
+    made = texts.groupBy("lang").applyInArrow(_dictionaries, "lang string, blob binary")  # a group is at most SAMPLE_DOCS short texts
+    blobs = dict(tuple(r) for r in made.collect())
+    return {lang: bytes(blobs[lang]) for lang in sorted(blobs, key=lambda x: (-common.get(x, 0), x))}
+
+
+def _dictionaries(table: pa.Table) -> pa.Table:
+    texts = [t.lower() for t in table.column("text").to_pylist()]
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "blob": [dictionary(texts)]}, pa.schema([("lang", pa.string()), ("blob", pa.binary())]))
 
 
 def sizes(blocks: list[bytes], compressors: list) -> np.ndarray:
@@ -100,7 +107,9 @@ def languages(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     lang_pred is the learned language with the smallest size (of equal sizes the more common); score
     grows from 0 to 1 with its lead; rejected tells that the lead is narrower than ``margin``. Texts are
     lower-cased and compressed whole, in blocks. Null and letterless texts, and all texts where nothing could be
-    learned, are "und", score 0, rejected. Input columns with an output's name are replaced.
+    learned, are "und", score 0, rejected. Repeated rows get equal values and, if they have one doc_id, teach once
+    (the least of their texts); rows without doc_id aren't learned from. Input columns with an output's name are
+    replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
