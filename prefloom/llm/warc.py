@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .base import shared_path, small_batches, stored
+from .base import lookup, shared_path, small_batches, stored
 
 #: Payloads of fewer bytes are never revisits; archives end after so many bytes.
 LEAST_BYTES, ARCHIVE_BYTES = 0, 256 << 20
@@ -48,23 +48,24 @@ def _member(data: bytes) -> bytes:
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     """Archives of ``pages`` (page_id, url, html); a stored table (path, records).
 
-    Equal payloads of at least ``least`` bytes meet by digest; only digests are aggregated, and a hot
-    digest is split by the join. A task writes archives under names of its own, so a task that runs
-    twice leaves orphans, never torn archives.
+    Equal payloads of at least ``least`` bytes meet by digest; only digests are aggregated, and only those that occur
+    twice meet the payloads: by broadcast where they are proven few, else by a join that splits a hot digest. A
+    revisit names its response's URI. A task writes archives under names of its own, so a task that runs twice
+    leaves orphans, never torn archives.
     """
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    digests = rows.where(F.length("payload") >= least).select("page_id", "sha1")
-    largest = stored(digests.groupBy("sha1").agg(F.max("page_id").alias("first_id")), "warc-digests")
-    dealt = rows.join(largest, "sha1", "left")
+    digests = rows.where(F.length("payload") >= least).select("page_id", "url", "sha1")
+    largest = digests.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))["url"].alias("first_url"), F.count("*").alias("n"))
+    dealt = lookup(rows, stored(largest.where("n > 1").drop("n"), "warc-digests"), ["sha1"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_id = uuid.uuid4().hex
         out, path, size, count, made = None, "", 0, 0, []
         for batch in batches:
-            names = ("page_id", "url", "sha1", "first_id")
-            for k, (page_id, url, sha1, first_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            names = ("page_id", "url", "sha1", "first_id", "first_url")
+            for k, (page_id, url, sha1, first_id, first_url) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
                 if out is None:
                     path = f"{folder}/captures-{run_id}-{len(made):04d}.warc.gz"
                     fs, at = pafs.FileSystem.from_uri(path)
@@ -78,7 +79,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 http = {"Content-Type": "application/http; msgtype=response"}
                 if revisit:
-                    answer = record("revisit", ids[1], {**target, **digest, **http, "WARC-Profile": REVISIT}, head)
+                    answer = record("revisit", ids[1], {**target, **digest, **http, "WARC-Profile": REVISIT, "WARC-Refers-To-Target-URI": one_line(first_url), "WARC-Refers-To-Date": DATE}, head)
                 else:
                     answer = record("response", ids[1], {**target, **digest, **http}, head + payload)
                 ask = record("request", ids[0], {**target, "WARC-Concurrent-To": ids[1], "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n")
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
             made.append((path, count))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["path", "records"])
 
-    return stored(dealt.select("page_id", "url", "payload", "sha1", "first_id").mapInArrow(run, "path string, records long"), "warc-archives")
+    return stored(dealt.select("page_id", "url", "payload", "sha1", "first_id", "first_url").mapInArrow(run, "path string, records long"), "warc-archives")
 
 
 class Stream:
