@@ -133,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     have = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id")
     chosen = stored(rows.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "quality-sample")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = sorted((tuple(r) for r in texts.dropDuplicates(["doc_id"]).collect()), key=lambda r: r[0])
+    texts = texts.groupBy("doc_id").agg(F.min("text"), F.min("_label"))  # of several texts of a document the least
+    texts = sorted((tuple(r) for r in texts.collect()), key=lambda r: r[0])
     return Model(idf, [t for _, t, _ in texts], [q for _, _, q in texts])
 
 
