@@ -29,9 +29,19 @@ def shared_root(spark: SparkSession) -> str:
     return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one: all tables and files that the operators write lie there."""
+    return f"{shared_root(spark).rstrip('/')}/prefloom-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing lies there yet."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the run's folder; nothing lies there yet."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_run(spark: SparkSession) -> None:
+    """Remove all that the operators have written in this application: to be called once their results are stored elsewhere."""
+    discard(spark, run_folder(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,13 +69,15 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
 
 #: Rows of an Arrow batch: with whole texts in them, Spark's default of 10,000 makes batches that workers and executors hold several times.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, or a single row if that is larger.
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` where it has none set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` where it has none set."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, str(value))
 
 
 def masked(docs: DataFrame) -> tuple[DataFrame, list]:

@@ -29,12 +29,63 @@ def test_near_duplicates(documents, texts, percent):
     assert rows(neardup.near_duplicates(documents, percent)) == listed(brute.near_duplicates(texts, percent))
 
 
-def test_near_duplicates_in_blocks(documents, texts, monkeypatch):
-    """Blocks of three sets lose no link."""
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_near_duplicates_in_blocks(documents, texts, monkeypatch, rounds):
+    """Rounds of stars and blocks of three sets lose no link."""
     monkeypatch.setattr(neardup, "BLOCK_SETS", 3)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
     assert rows(neardup.near_duplicates(documents)) == listed(brute.near_duplicates(texts))
 
 
+def chained(n, seed, step):
+    """Texts of which each is the one before with ``step`` words changed: neighbours are near, others less and less."""
+    rng = random.Random(seed)
+    words, out = [f"s{seed}w{k}" for k in range(120)], []
+    for k in range(n):
+        for _ in range(step):
+            words[rng.randrange(len(words))] = f"s{seed}x{rng.randrange(10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_near_duplicates_in_chains(spark, monkeypatch, rounds):
+    """Large groups with many parts, linked in chains or not at all, and a link over a row without id."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 4)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    docs = [(k, t) for k, t in enumerate(chained(60, 1, 1) + chained(40, 2, 3) + chained(30, 3, 4))]
+    docs = [(None if k == 30 else k, t) for k, t in docs] + [(500, docs[3][1]), (None, docs[70][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(neardup.near_duplicates(df)) == listed(brute.near_duplicates(docs))
+
+
+def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
+    """Many near copies of a page and some strays: the rows that meet grow with the group, not with its square."""
+    dealt = []
+    solve = neardup._solve
+    monkeypatch.setattr(neardup, "_solve", lambda rows, *a: dealt.append(rows.count()) or solve(rows, *a))
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
+    rng, docs = random.Random(4), []
+    page = [f"w{k}" for k in range(200)]
+    for n in range(500):
+        words = list(page)
+        for _ in range(1 if n % 50 else 9):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        docs.append((n, " ".join(words)))
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(dealt) < 6 * len(docs)
+    assert rows(out) == listed(brute.near_duplicates(docs))
+
+
+def test_deduplicated_rows_of_one_id(spark):
+    """Of several rows of an id that of the group stays, the same on any partitioning; clashing names come back as they were."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = [(1, text, "a", 5), (1, "other words here", "b", 6), (2, text, "c", 7), (3, text + " x", "d", 8), (1, text, "e", 9), (None, text, "f", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, kept string, _text_key int")
+    got = [listed(tuple(r) for r in neardup.deduplicated(df.repartition(n), 80).collect()) for n in (1, 4)]
+    assert got[0] == got[1] and len(got[0]) == 2 and {r[0] for r in got[0]} == {1, None}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert rows(neardup.near_duplicates(empty)) == []
 
@@ -93,7 +144,7 @@ def test_contamination_of_nothing(spark, documents, empty, texts):
 
 
 def test_longest_matches(spark):
-    """A match is maximal and located."""
+    """A match is longest and located."""
     words = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[3:33]) + " c")], "doc_id long, text string")
     table = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
@@ -101,6 +152,55 @@ def test_longest_matches(spark):
     assert [(x.start, x.end, x.item_id, x.item_start) for x in m] == [(2, 32, "5", 3)]
 
 
+@pytest.mark.parametrize("window", [2, 3, 5, 13])
+def test_suffixes(window):
+    """Few words, so that windows, short items and copies overlap: hits, items and matches against brute force."""
+    import pyarrow as pa
+
+    rng, vocabulary = random.Random(window), [f"w{k}" for k in range(6)]
+    for _ in range(60):
+        bench_ = [(rng.choice([k, k, 1, None]), " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 5, 8, 14, 20]))) if rng.random() > 0.05 else None) for k in range(rng.randint(0, 7))]
+        docs = [(k, " ".join(rng.choices([*vocabulary, "zz"], k=rng.choice([0, 1, 4, 10, 30, 60])))) for k in range(8)]
+        docs = [(k, t + " " + ((rng.choice(bench_)[1] if bench_ and rng.random() < 0.5 else "") or "")) for k, t in docs]
+        n, spans, items, found = decontam._scan(pa.array([t for _, t in docs]), decontam.Benchmark(bench_, window))
+        texts = {}
+        for i, t in bench_:
+            if i is not None and t:
+                texts.setdefault(str(i), []).append(t.split())
+        has = lambda seg, ts: any(t[p : p + len(seg)] == seg for t in ts for p in range(len(t)))
+        for k, want in enumerate(brute.contamination(docs, bench_, window)):
+            hit = sum(spans[k][1::2]) - sum(spans[k][::2])
+            assert (k, int(n[k]), hit, len(items[k]), hashlib.sha256(",".join(items[k]).encode()).hexdigest()) == want[:5]
+            words, covered = docs[k][1].split(), set()
+            for m in found[k]:
+                seg = words[m["start"] : m["end"]]
+                assert any(t[m["item_start"] :][: len(seg)] == seg for t in texts[m["item_id"]])
+                longer = words[m["start"] : m["end"] + 1]
+                assert len(seg) < window or len(longer) == len(seg) or not has(longer, [t for ts in texts.values() for t in ts])
+                covered |= set(range(m["start"], m["end"]))
+            assert len(covered) == hit
+
+
+def test_a_large_benchmark():
+    """10,000 items of ordinary words against some megabytes, and 1,000 items that share a prompt: no more than the items' names a document."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vocabulary, p = [f"v{k}" for k in range(20_000)], 1 / np.arange(1, 20_001)
+    draw = lambda n: rng.choice(vocabulary, n, p=p / p.sum()).tolist()
+    words, prompt = draw(800_000), " ".join(draw(20))
+    items = [(k, " ".join(words[80 * k : 80 * k + 80])) for k in range(10_000)]
+    text = " ".join(draw(150_000))
+    bench_ = decontam.Benchmark(items + [(20_000 + k, f"{prompt} {k}") for k in range(1000)], 13)
+    docs = pa.array([text[k : k + 3000] + f" {prompt} end" for k in range(0, len(text), 3000)] * 4)
+    began = time.process_time()
+    _, spans, found_items, found = decontam._scan(docs, bench_)
+    assert time.process_time() - began < 30
+    assert all(len(x) == 1000 for x in found_items) and all(len(s) == 2 for s in spans) and all(len(m) == 1 for m in found)
+
+
 # --- repeated passages
 
 
@@ -292,6 +392,20 @@ def test_mixed(spark, documents, empty, texts):
     assert mixing.mixed(documents, {"other": 1.0}).count() == 0
 
 
+def test_mixing_names(spark):
+    """Names of the operator's own columns come back as they were; rows without id get counts and places of their own."""
+    docs = [(k if k % 3 else None, f"text {k}", "ab"[k % 2], 9, 8, 7, 6.5, "s") for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, copy int, mix_key int, _n int, rate double, _source string")
+    out = mixing.mixture(df, {"a": 1.0, "b": 1.0}, 2.0)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {(9, 8, 7, 6.5, "s")}
+    full = mixing.mixed(df, {"a": 1.0, "b": 1.0}, 2.0)
+    assert set(full.columns) == set(df.columns) and rows(full) == rows(mixing.mixed(df.repartition(7), {"a": 1.0, "b": 1.0}, 2.0))
+    none = full.where("doc_id is null").groupBy("text").count().collect()
+    assert 2 < len(none) < 100 and len({r["count"] for r in none}) > 1
+    again = mixing.mixed(df.union(df), {"a": 1.0, "b": 1.0}, 2.0)
+    assert rows(again) == listed([r for r in rows(full) for _ in range(2)])
+
+
 def test_target_shares(spark):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("source"))
     n = {r.source: r["count"] for r in mixing.mixed(docs, {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()}
@@ -302,11 +416,14 @@ def test_target_shares(spark):
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
-def test_tokens(documents, texts, planes, monkeypatch):
+def test_tokens(spark, documents, texts, planes):
+    """Against an untouched tokenizer, added tokens' names among the texts."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    more = [(7001, "a <|endoftext|> b"), (7002, "<|endoftext|>"), (7003, "x<|endoftext|>, y.\nz"), (7004, "日本語" * 5000), (7005, " ".join("日本" * k for k in range(60)))]
+    texts = [*texts, *more]
+    documents = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     out = tokens.token_table(documents, planes=planes).collect()
     assert len(out) == len(texts)
     want = {}
@@ -326,17 +443,42 @@ def test_tokens_of_nothing(empty):
     assert tokens.token_table(empty).collect() == []
 
 
-def test_pieces():
-    """Ids from remembered pieces are those of whole texts, whatever the white space, also as the memory is cleared."""
-    rng = random.Random(8)
+def test_added_tokens_as_text(spark):
+    t = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"), special=False)
+    assert 50256 in tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json")).encode("a <|endoftext|> b") and 50256 not in t.encode("a <|endoftext|> b")
+    (r,) = tokens.token_table(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), special=False).collect()
+    assert r.n_tokens == len(t.encode("a <|endoftext|> b")) + 1
+
+
+@pytest.mark.parametrize("slots, ids, longest", [(16, 40, 12), (64, 200, 12), (64, 100_000, 64), (1 << 12, 20_000, 64)])
+def test_pieces(monkeypatch, slots, ids, longest):
+    """Ids from remembered pieces are those of whole texts, whatever the white space, also as the memory fills and is cleared."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    monkeypatch.setattr(tokens, "IDS", ids)
+    monkeypatch.setattr(tokens, "LONGEST", longest)
+    rng, path = random.Random(8), tokens.tokenizer_path("byte_bpe_50k.json")
+    e, t = tokens.Encoder(path), Tokenizer.from_file(path)
+    parts = ["the", "of", "don't", "x1y", "é", "...", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "!!", "12", "日本", "<|endoftext|>", "\0", "\x1c", "\u200b", "a.", "b,", "c.,", "1.", "x" * 70, ".", ",", ".a"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 12))) for _ in range(8)]
+        assert [x.tolist() for x in e.texts(pa.array([*texts, None]))] == [*(t.encode(x, add_special_tokens=False).ids for x in texts), []]
+    assert e.memory.used <= slots // 2 and e.memory.end <= ids
+
+
+def test_memory_is_bounded_by_bytes():
+    """Pieces of any number and length: the memory has its size from the start."""
+    import pyarrow as pa
+
     e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
-    parts = ["the", "of", "don't", "x1y", "é", "...", " ", "  ", "\n", "\t", "\r\n", " ", " ", "!!", "12", "日本", "<|endoftext|>", "\0", "\x1c", "​"]
-    for k in range(3000):
-        text = "".join(rng.choice(parts) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 12)))
-        if k == 1500:
-            tokens.MEMO, before = 5, tokens.MEMO
-        assert e.encode(text).tolist() == e.whole(text).tolist(), repr(text)
-    tokens.MEMO = before
+    size = lambda: sum(x.nbytes for x in (e.memory.keys, e.memory.at, e.memory.n, e.memory.ids))
+    before = size()
+    rng = random.Random(1)
+    for _ in e.texts(pa.array(["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)) for _ in range(3000)])):
+        pass
+    assert size() == before <= 128_000_000 and e.memory.used == 0
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -409,12 +551,58 @@ def test_exact_neighbours():
 
 
 def test_languages_of_long_and_short_texts(spark, monkeypatch):
-    """A language whose texts are all too long or too short is learned too; beyond the bound the most common stay."""
+    """A language whose texts are all too long or too short is learned too; too many languages are an error."""
     words = {"mid": "alpha beta gamma delta", "long": "uno dos tres cuatro", "short": "eins zwei"}
     docs = [(k, lang, f"{words[lang]} " * (2000 if lang == "long" else 10) if lang != "short" else words[lang]) for k, lang in enumerate(["mid"] * 30 + ["long"] * 20 + ["short"] * 40)]
     df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
     learned = langid.learn(df)
-    assert set(learned) == set(words) and set(learned["long"].decode().split()) == set(words["long"].split())
+    assert list(learned) == ["short", "mid", "long"] and set(learned["long"].decode().split()) == set(words["long"].split())
     assert {(r.lang, r.lang_pred) for r in langid.languages(df).collect()} == {(x, x) for x in words}
+    assert rows(langid.languages(df.union(df))) == listed([r for r in rows(langid.languages(df)) for _ in range(2)])
     monkeypatch.setattr(langid, "LANGUAGES", 2)
-    assert set(langid.learn(df)) == {"mid", "short"}
+    with pytest.raises(ValueError):
+        langid.learn(df)
+
+
+def test_many_languages(spark):
+    """All of 300 languages are learned and told apart."""
+    rng = random.Random(3)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for k in range(300)}
+    df = spark.createDataFrame([(i, lang, " ".join(rng.choices(w, k=60))) for i, (lang, w) in enumerate((x, w) for x, w in words.items() for _ in range(12))], "doc_id long, lang string, text string")
+    assert langid.languages(df).where("lang <> lang_pred").count() == 0
+
+
+def test_languages_by_plain_compression(spark, small):
+    """Each verdict and score from the sizes that plain zstandard gives, without Spark or batches."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    learned = langid.learn(docs)
+    zips = [(x, zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)) for x, d in learned.items()]
+    got = langid.languages(docs).collect()
+    for r in got:
+        raw = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        size = sorted((sum(len(z.compress(raw[k : k + langid.BLOCK])) for k in range(0, len(raw), langid.BLOCK)), n, x) for n, (x, z) in enumerate(zips))
+        lead = (size[1][0] - size[0][0]) / max(size[0][0], 1)
+        assert r.lang_pred == size[0][2] and r.score == pytest.approx(1 - math.exp(-lead / 0.02)) and r.rejected == (lead < langid.MARGIN)
+
+
+def flipped(docs, labels):
+    """The held-out rows' lang, source and labels changed."""
+    held = langid.held_out()
+    docs = docs.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.when(held, F.lit("q")).otherwise(F.col("source")))
+    return docs, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+
+
+def test_held_out_rows_teach_nothing(spark, small):
+    """Verdicts stay the same whatever held-out rows say of themselves."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    docs_, labels_ = flipped(docs, labels)
+    assert rows(langid.languages(docs).select("doc_id", "lang_pred", "score")) == rows(langid.languages(docs_).select("doc_id", "lang_pred", "score"))
+    assert rows(quality.quality(docs, labels).select("doc_id", "score")) == rows(quality.quality(docs_, labels_).select("doc_id", "score"))
+    assert rows(rules.quality_rules(docs, labels)) == rows(rules.quality_rules(docs_, labels_))
