@@ -66,18 +66,22 @@ def last_link(links: DataFrame, order: str) -> DataFrame:
     return last.select("rating_id", F.coalesce("user_id", F.lit(0)).alias("user_id"), F.coalesce("item_id", F.lit(0)).alias("item_id"))
 
 
-def ancestors(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """Path of names from the root to each node of (node, name, parent), by joins until no parent is left.
+def ancestors(tree: DataFrame) -> DataFrame:
+    """Path of names from the root to each node of (node, name, parent), however deep.
 
-    At most ``depth`` levels; nodes on a cycle keep the part of their path that depth allows.
+    A round doubles the levels that a path has, so their number is the logarithm of the depth. A parent that is no node
+    ends a path; a cycle is an error.
     """
-    up = tree.select(F.col("node").alias("_n"), F.col("name").alias("_name"), F.col("parent").alias("_p"))
-    paths = tree.select("node", F.array("name").alias("path"), F.col("parent").alias("next"))
-    for _ in range(depth):
-        paths = paths.join(up, paths["next"] == up["_n"], "left").select("node", F.when(F.col("_name").isNull(), F.col("path")).otherwise(F.concat(F.array("_name"), "path")).alias("path"), F.col("_p").alias("next"))
+    from ..sources.checkpoints import cut
+
+    paths = cut(tree.select("node", F.array("name").alias("path"), F.col("parent").alias("next")))
+    for _ in range(max(1, paths.count()).bit_length() + 1):
         if paths.where("next is not null").isEmpty():
-            break
-    return paths.select("node", F.array_join("path", "/").alias("path"))
+            return paths.select("node", F.array_join("path", "/").alias("path"))
+        up = paths.select(F.col("node").alias("_n"), F.col("path").alias("_path"), F.col("next").alias("_next"))
+        joined = paths.join(up, paths["next"] == up["_n"], "left")
+        paths = cut(joined.select("node", F.concat(F.coalesce("_path", F.array().cast("array<string>")), "path").alias("path"), F.col("_next").alias("next")))
+    raise ValueError("the tree has a cycle")
 
 
 def first_name(rows: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:

@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import schema
 
 
 def json_profiles(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
     """JSON lines under a schema; rows without id are left out and the last line of an id wins."""
-    raw = spark.read.schema(fields).json(path).where("id is not null")
-    return last_wins(raw.withColumn("_at", F.monotonically_increasing_id()), "id", "_at")
+    raw = spark.read.schema(fields).json(path).withColumn("_at", line_order()).where("id is not null")
+    return last_wins(raw, "id", "_at")
+
+
+def item_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line) of item profiles in JSON, the line as it stands; the last line of an id wins."""
+    raw = spark.read.text(path).select(F.get_json_object("value", "$.id").alias("id"), F.col("value").alias("line"), line_order().alias("_at"))
+    return last_wins(raw.where("id is not null"), "id", "_at")
+
+
+def line_order() -> Column:
+    """Sorts the lines of text files as they stand: by file, by the split's place in it, by the line's place in the split."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row, value): all lines with their numbers from 1."""
+    from .sinks import dense_numbers
+
+    lines = spark.read.text(path).select("value", line_order().alias("_k"))
+    return dense_numbers(lines, "_k", "row").select("row", "value")
+
+
+def rows_at(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """The lines of ``path`` at the 1-based places that the file ``index`` lists; a place that it repeats counts once."""
+    return numbered_lines(spark, path).join(row_index(spark, index).distinct(), "row", "left_semi")
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -28,13 +52,22 @@ def json_ratings(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("u").alias("user_id"), F.col("i").alias("item_id"), F.expr("try_cast(r AS double)").alias("rating"), F.expr("try_cast(d AS long)").alias("ts"))
 
 
-def delimited(spark: SparkSession, path: str, fields: T.StructType, sep: str = "\t", drop_malformed: bool = False) -> DataFrame:
+def delimited(spark: SparkSession, path: str, fields: T.StructType, sep: str = "\t") -> DataFrame:
     """Delimited rows without quoting."""
-    return spark.read.schema(fields).option("sep", sep).option("quote", "").option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").csv(path)
+    return spark.read.schema(fields).option("sep", sep).option("quote", "").csv(path)
+
+
+def tab_rows(spark: SparkSession, path: str, fields: T.StructType, least: int) -> DataFrame:
+    """Lines of at least ``least`` tab-separated columns, whatever is read of them: further columns are left, missing ones and
+    those that don't fit their type are null."""
+    p = F.split("value", "\t", -1)
+    lines = spark.read.text(path).where(F.size(p) >= least)
+    return lines.select(*[F.get(p, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def ratings_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return delimited(spark, path, schema.RATING_TSV, drop_malformed=True)
+    """Ratings of three or more columns: user, item, rating, and the time if there is one."""
+    return tab_rows(spark, path, schema.RATING_TSV, 3)
 
 
 def orders_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +82,7 @@ def products_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sparse_triples(spark: SparkSession, path: str) -> DataFrame:
-    return delimited(spark, path, schema.TRIPLE_TSV, drop_malformed=True)
+    return tab_rows(spark, path, schema.TRIPLE_TSV, 3)
 
 
 def row_index(spark: SparkSession, path: str) -> DataFrame:
