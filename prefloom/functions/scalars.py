@@ -123,3 +123,42 @@ def falsy(x: Column) -> Column:
     """Missing as feature handlers see it: null, empty, or zero."""
     s = F.trim(x.cast("string"))
     return s.isNull() | (s == "") | (F.coalesce(s.try_cast("double"), F.lit(1.0)) == 0)
+
+
+def one_hot(kind: str, attributes: dict[str, Column]) -> Column:
+    """Each attribute that isn't missing as ``kind_attribute_value`` with value 1, as an array of (name, value)."""
+    cells = [F.when(~falsy(c), F.struct(F.concat(F.lit(f"{kind}_{a}_"), normalize_text(c.cast("string"))).alias("name"), F.lit(1.0).alias("value"))) for a, c in attributes.items()]
+    return F.array_compact(F.array(*cells))
+
+
+def movie_user_features(gender: Column, attributes: dict[str, Column]) -> Column:
+    """Attributes one-hot, and the gender as one feature of -1 or 1."""
+    sign = F.array(F.struct(F.lit("gender").alias("name"), gender_sign(gender).alias("value")))
+    return F.concat(F.when(falsy(gender), F.array().cast("array<struct<name:string,value:double>>")).otherwise(sign), one_hot("u", attributes))
+
+
+def each_value(kind: str, values: Column) -> Column:
+    """``kind_value`` of each value of an array, such as genres or authors; missing ones and repetitions are left out."""
+    some = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: ~falsy(v))
+    return F.array_distinct(F.transform(some, lambda v: F.concat(F.lit(f"{kind}_"), normalize_text(v))))
+
+
+def author_features(authors: Column) -> Column:
+    """Features of an author list that is one name or a JSON array of names."""
+    listed = F.when(F.startswith(F.trim(authors), F.lit("[")), F.from_json(authors, "array<string>")).otherwise(F.array(authors))
+    return each_value("i_author", listed)
+
+
+def merchant_feature(merchant: Column) -> Column:
+    return F.concat(F.lit("m_"), normalize_text(merchant_name(merchant)))
+
+
+def handler_group(feature: Column) -> Column:
+    """The handlers' group of a feature by a fragment of its name: weights of terms, their inverse frequencies, or the name itself."""
+    return F.when(F.contains(feature, F.lit("tfidf_")), F.lit("tfidf")).when(F.contains(feature, F.lit("tf_")), F.lit("tf")).otherwise(feature)
+
+
+def loose_datetime(seconds: Column) -> Column:
+    """``Y-M-D h:m:s`` in UTC without leading zeros."""
+    t = F.timestamp_seconds(seconds)
+    return F.concat(F.concat_ws("-", F.year(t), F.month(t), F.day(t)), F.lit(" "), F.concat_ws(":", F.hour(t), F.minute(t), F.second(t)))

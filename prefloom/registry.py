@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import features, graph, history, models, popularity, similarity, splits, texts
+from .plans import features, graph, history, models, popularity, samples, similarity, splits, texts
 from .plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "features", "graph", "history", "models", "popularity", "similarity", "splits", "texts"]
+__all__ = ["QUERIES", "SQL", "features", "graph", "history", "models", "popularity", "samples", "similarity", "splits", "texts"]
