@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import baseline, bias, factors, linear
+from ..models import baseline, bias, factors, feedback, linear
 from ..operators import features as f
 from ..sources.checkpoints import cut
 from ..sources.tables import order_events
@@ -49,9 +49,26 @@ def cv_average_rmse(spark, d):
     return c.select("fold", *[F.round(x, 6).alias(x) for x in ("mean", "train_rmse", "test_rmse")])
 
 
-@query()
+def _sql_bias_model(sweeps: int, rounds: int) -> str:
+    """The sweeps unrolled: views of users u, items i and a row of scalars s each."""
+    out = _sql_bias(rounds).rsplit(" SELECT 'user'", 1)[0]
+    out += f", mu0 AS MATERIALIZED (SELECT user_id AS id, b AS mean, 1.0::DOUBLE AS var FROM u{rounds}), mi0 AS MATERIALIZED (SELECT item_id AS id, b AS mean, 1.0::DOUBLE AS var FROM i{rounds})"
+    out += ", s0 AS MATERIALIZED (SELECT (SELECT avg(mean) FROM mu0) AS um, 1.0::DOUBLE AS up, (SELECT avg(mean) FROM mi0) AS im, 1.0::DOUBLE AS ip, (SELECT avg(rating) FROM ra) AS g, 0.0::DOUBLE AS gv, 1.0::DOUBLE AS p)"
+    for k in range(1, sweeps + 1):
+        j = k - 1
+        for side, mine, other, seen in (("u", "user_id", "item_id", f"mi{j}"), ("i", "item_id", "user_id", f"mu{k}")):
+            out += f", m{side}{k} AS MATERIALIZED (SELECT {mine} AS id, (any_value({side}p) * any_value({side}m) + any_value(p) * sum(rating - mean - g)) / (any_value({side}p) + count(*) * any_value(p)) AS mean, 1 / (any_value({side}p) + count(*) * any_value(p)) AS var FROM ra JOIN {seen} o ON o.id = {other}, s{j} GROUP BY {mine})"
+            out += f", p{side}{k} AS MATERIALIZED (SELECT any_value(a) AS m, (count(*) / 2 - 1) / ((sum(var + (mean - a) ** 2) + 1 / any_value({side}p)) / 2) AS p FROM m{side}{k}, (SELECT avg(mean) AS a FROM m{side}{k}), s{j})"
+        out += f", t{k} AS MATERIALIZED (SELECT count(*) AS n, sum(rating - u.mean - i.mean) AS s, sum((rating - u.mean - i.mean) ** 2) AS q, sum(u.var + i.var) AS v FROM ra JOIN mu{k} u ON u.id = user_id JOIN mi{k} i ON i.id = item_id)"
+        out += f", s{k} AS MATERIALIZED (SELECT pu{k}.m AS um, pu{k}.p AS up, pi{k}.m AS im, pi{k}.p AS ip, s / n AS g, 1 / (n * s{j}.p) AS gv, (n / 2 - 1) / ((q - s * s / n + v + 1 / s{j}.p) / 2) AS p FROM t{k}, pu{k}, pi{k}, s{j})"
+    moments = " UNION ALL ".join([f"SELECT 'user' AS kind, id, mean AS m1, var + mean ** 2 AS m2 FROM mu{sweeps}", f"SELECT 'item', id, mean, var + mean ** 2 FROM mi{sweeps}", *[f"SELECT '{kind}', 0, {m1}, {m2} FROM s{sweeps}" for kind, m1, m2 in (("global", "g", "gv + g ** 2"), ("user_prior", "um", "1 / up"), ("item_prior", "im", "1 / ip"), ("rating", "0.0", "1 / p"))]])
+    return out + f" SELECT kind, id, round(m1, 5) AS m1, round(m2, 5) AS m2 FROM ({moments})"
+
+
+@query(_sql_bias_model(3, 8))
 def bb_train(spark, d):
-    return bias.parameters(bias.train(ratings(spark, d), 3, 8))
+    rows = bias.parameters(bias.train(ratings(spark, d), 3, 8))
+    return rows.select("kind", "id", F.round("m1", 5).alias("m1"), F.round("m2", 5).alias("m2"))
 
 
 @query()
@@ -92,14 +109,52 @@ def hhmfb_train(spark, d):
     return factors.vectors(factors.train(ratings(spark, d), 5, 2, u, i, biases=True))
 
 
+@query()
+def hhmf_recommend(spark, d):
+    """The best 50 items by the hybrid model for each user whose id divides by 50, users without ratings too."""
+    from ..sources.tables import users
+
+    u, i = _features(spark, d)
+    m = factors.train(ratings(spark, d), 5, 2, u, i)
+    return factors.recommend(m, users(spark, d).where("user_id % 50 = 0").select("user_id"), 50, u)
+
+
+def _held(spark, d):
+    """Training ratings, and those of the test and the cold start."""
+    from ..operators.splits import train_test_cold
+
+    s = cut(train_test_cold(ratings(spark, d)))
+    part = lambda name: s.where(F.col("split") == name).select("user_id", "item_id", "rating")
+    return part("train"), {"test": part("test"), "cs": part("cs")}
+
+
+def _errors(spark, m):
+    """Train, test and cold-start errors by sweep."""
+    rows = [(k + 1, train, held["test"], held["cs"]) for k, (train, held) in enumerate(zip(m.log, m.errors))]
+    return spark.createDataFrame(rows, "iteration int, train_rmse double, test_rmse double, cs_rmse double")
+
+
+@query()
+def hhmfb_errors(spark, d):
+    train, held = _held(spark, d)
+    u, i = _features(spark, d)
+    return _errors(spark, factors.train(train, 5, 2, u, i, biases=True, held=held))
+
+
+@query()
+def mf_implicit_errors(spark, d):
+    train, held = _held(spark, d)
+    return _errors(spark, feedback.train(train, *_features(spark, d), 5, 2, held=held))
+
+
 @query()
 def mf_implicit(spark, d):
-    return factors.implicit(ratings(spark, d), _features(spark, d)[0], 5, 2)[0]
+    return feedback.vectors(feedback.train(ratings(spark, d), *_features(spark, d), 5, 2))
 
 
 @query()
 def vl_implicit(spark, d):
-    return factors.implicit(ratings(spark, d), _features(spark, d)[0], 5, 2, logistic=True)[0]
+    return feedback.vectors(feedback.train(ratings(spark, d), *_features(spark, d), 5, 2, logistic=True))
 
 
 @query()
