@@ -98,3 +98,27 @@ def parents(paths: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, by: list[str], order: list, top: int, name: str = "rank") -> DataFrame:
     """The first ``top`` rows of each group; Spark cuts each partition before the shuffle."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= top)
+
+
+def dump(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole graph as lines: ``node type id name`` and ``edge type from to value``, tabs between."""
+    node = F.concat_ws("\t", F.lit("node"), F.col("type").cast("string"), F.col("entity_id").cast("string"), F.coalesce("name", F.lit("")))
+    edge = F.concat_ws("\t", F.lit("edge"), *[F.col(c).cast("string") for c in ("type", "from_id", "to_id", "value")])
+    return entities.select(node.alias("value")).unionByName(edges.select(edge.alias("value")))
+
+
+def with_metadata(recommended: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    """Recommended rows with their items' ``columns``, null where the item is unknown."""
+    return recommended.join(items.select("item_id", *columns), "item_id", "left")
+
+
+def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """How often each value of each column occurs: (kind, value, n), in one pass; arrays count each element."""
+    types, empty = dict(rows.dtypes), F.array().cast("array<struct<kind:string,value:string>>")
+
+    def cells(c: str):
+        values = F.col(c).cast("array<string>") if types[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.coalesce(F.transform(values, lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value"))), empty)
+
+    each = rows.select(F.explode(F.concat(*[cells(c) for c in columns])).alias("_e")).select("_e.*")
+    return each.where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))

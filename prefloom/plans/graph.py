@@ -112,3 +112,55 @@ FROM (SELECT * FROM (SELECT user_id, item_id, count(*) AS n FROM ev GROUP BY ALL
 def stored_rec_lists(spark, d):
     n = order_events(spark, d).groupBy("user_id", "item_id").agg(F.count("*").alias("score"))
     return sinks.stored_list(g.ranked(n, ["user_id"], [F.desc("score"), "item_id"], 10))
+
+
+@query(_EDGES + " SELECT from_id, to_id, value - 3 AS value FROM ed WHERE value = 3")
+def zero_centred_edges(spark, d):
+    """Edges of value 0 once ratings are counted from the middle of the scale."""
+    return g.zero_edges(rating_edges(spark, d).withColumn("value", F.col("value") - 3)).select("from_id", "to_id", "value")
+
+
+@query(_EDGES + _ENT + " SELECT 'node' || chr(9) || type || chr(9) || entity_id || chr(9) || name AS value FROM en UNION ALL SELECT 'edge' || chr(9) || type || chr(9) || from_id || chr(9) || to_id || chr(9) || value FROM fe")
+def graph_dump(spark, d):
+    return g.dump(entities(spark, d), g.first_edges(rating_edges(spark, d), ORDER))
+
+
+_LISTS = ", rl AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item_id) AS rank FROM (SELECT user_id, item_id, count(*) AS n FROM ev GROUP BY ALL) QUALIFY rank <= 10), md AS (SELECT user_id, rank, item_id, name, 1950 + size AS year, string_split(name, ' ') AS genres FROM rl JOIN it USING (item_id))"
+
+
+def _listed(spark, d):
+    """Each user's ten items bought most often with the items' name, year and genres."""
+    n = order_events(spark, d).groupBy("user_id", "item_id").agg(F.count("*").alias("score"))
+    best = g.ranked(n, ["user_id"], [F.desc("score"), "item_id"], 10).drop("score")
+    it = items(spark, d).select("item_id", "name", (1950 + F.col("size")).alias("year"), F.split("name", " ").alias("genres"))
+    return g.with_metadata(best, it, ["name", "year", "genres"])
+
+
+@query(_LISTS + " SELECT user_id, rank, item_id, name, year, array_to_string(genres, '|') AS genres FROM md")
+def rec_list_metadata(spark, d):
+    return _listed(spark, d).select("user_id", "rank", "item_id", "name", "year", F.array_join("genres", "|").alias("genres"))
+
+
+@query(_LISTS + " SELECT 'year' AS kind, year::VARCHAR AS value, count(*) AS n FROM md GROUP BY year UNION ALL SELECT 'genres', g, count(*) FROM (SELECT unnest(genres) AS g FROM md) GROUP BY g")
+def rec_list_histograms(spark, d):
+    return g.histograms(_listed(spark, d), ["year", "genres"])
+
+
+@query(_LISTS + """ SELECT user_id, '{"userId":"' || user_id || '","features":["' || any_value(segment) || '"],"recIdList":[' || string_agg('"' || item_id || '"', ',' ORDER BY rank) || ']}' AS value FROM rl JOIN us USING (user_id) GROUP BY user_id""")
+def rec_json_ids(spark, d):
+    u = users(spark, d).select("user_id", F.array("segment").alias("features"))
+    return sinks.recommendation_json(_listed(spark, d).join(u, "user_id"), names=False)
+
+
+@query(" SELECT category, n FROM (SELECT category, count(*) AS n FROM ev GROUP BY category) QUALIFY row_number() OVER (ORDER BY n DESC, category) <= 3")
+def top_categories(spark, d):
+    """The three categories bought most often: a report of n."""
+    return order_events(spark, d).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(3)
+
+
+@query(" SELECT row_number() OVER (ORDER BY item_id) AS row, (category = 'PROMO')::INT AS label FROM it WHERE size % 2 = 0")
+def coordinate_labels(spark, d):
+    """Labels of the rows that have features, by the numbers of their coordinates."""
+    features = F.when(F.col("size") % 2 == 0, F.array(F.struct(F.lit(1).alias("fid"), F.lit(1.0).alias("fval")))).otherwise(F.array().cast("array<struct<fid:int,fval:double>>"))
+    samples = items(spark, d).select("item_id", features.alias("features"), (F.col("category") == "PROMO").cast("int").alias("label"))
+    return sinks.coordinate_labels(samples, "item_id")

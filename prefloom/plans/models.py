@@ -71,13 +71,14 @@ def bb_train(spark, d):
     return rows.select("kind", "id", F.round("m1", 5).alias("m1"), F.round("m2", 5).alias("m2"))
 
 
-@query()
+@query(_sql_bias_model(2, 6).rsplit(" SELECT kind", 1)[0] + """, sc AS (SELECT u.id AS user_id, i.id AS item_id, round(g + u.mean + i.mean, 6) AS score FROM mu2 u, mi2 i, s2 WHERE u.id % 50 = 0 AND NOT EXISTS (SELECT 1 FROM ra WHERE ra.user_id = u.id AND ra.item_id = i.id))
+SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc QUALIFY rank <= 20""")
 def bb_recommend(spark, d):
-    """The best 20 unseen items for each user whose id divides by 50: a stated query set against all items."""
+    """The best 20 unseen items for each user whose id divides by 50, a stated query set against all items; scores of six digits."""
     r = ratings(spark, d)
     m = bias.train(r, 2, 6)
     pairs = r.where("user_id % 50 = 0").select("user_id").distinct().crossJoin(r.select("item_id").distinct()).join(r, ["user_id", "item_id"], "left_anti")
-    return baseline.top_predictions(bias.predict(m, pairs), 20)
+    return baseline.top_predictions(bias.predict(m, pairs).withColumn("score", F.round("score", 6)), 20)
 
 
 def _features(spark, d):
@@ -119,6 +120,18 @@ def hhmf_recommend(spark, d):
     return factors.recommend(m, users(spark, d).where("user_id % 50 = 0").select("user_id"), 50, u)
 
 
+@query()
+def hhmf_rec_json(spark, d):
+    """Those recommendations as JSON lines with the names of items and of the user's features."""
+    from ..sources import sinks
+    from ..sources.tables import items
+
+    named = items(spark, d).select("item_id", F.col("name").alias("item_name"))
+    mine = pf.user_features(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list("name")).alias("feature_names"))
+    lists = hhmf_recommend(spark, d).join(named, "item_id", "left").join(mine, "user_id", "left")
+    return sinks.recommendation_json(lists.withColumn("features", F.col("feature_names")))
+
+
 def _held(spark, d):
     """Training ratings, and those of the test and the cold start."""
     from ..operators.splits import train_test_cold

@@ -21,6 +21,11 @@ def coordinates(samples: DataFrame, key: str) -> DataFrame:
     return rows.select("row", F.explode("features").alias("x")).select("row", F.col("x.fid").alias("col"), F.col("x.fval").alias("val"))
 
 
+def coordinate_labels(samples: DataFrame, key: str) -> DataFrame:
+    """(row, label) beside ``coordinates``: the same rows by the same numbers."""
+    return dense_numbers(samples.where(F.size("features") > 0).select(key, "label"), key, "row").select("row", "label")
+
+
 def dense_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
     """Consecutive numbers from 1 in the order of ``key`` without gathering all rows in one task.
 
@@ -49,8 +54,16 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("quote", "").mode("overwrite").csv(path)
 
 
-def recommendation_json(ranked: DataFrame) -> DataFrame:
-    """(user_id, rank, item_id, item_name, features, feature_names) as one JSON line a user."""
+def write_splits(ratings: DataFrame, path: str, columns: tuple[str, ...] = ("user_id", "item_id")) -> None:
+    """Tab-separated files, a folder for each split, as external recommenders take them."""
+    ratings.select("split", *columns).write.partitionBy("split").option("sep", "\t").mode("overwrite").csv(path)
+
+
+def recommendation_json(ranked: DataFrame, names: bool = True) -> DataFrame:
+    """(user_id, rank, item_id, item_name, features, feature_names) as one JSON line a user; without ``names`` the ids alone."""
+    if not names:
+        one = ranked.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("r"), F.first("features").alias("features"))
+        return one.select("user_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("userId"), "features", F.transform("r", lambda x: x["item_id"].cast("string")).alias("recIdList"))).alias("value"))
     one = ranked.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "item_name"))).alias("r"), F.first("features").alias("features"), F.first("feature_names").alias("names"))
     line = F.to_json(F.struct(F.col("user_id").cast("string").alias("userId"), "features", F.col("names").alias("featureNames"), F.transform("r", lambda x: x["item_id"].cast("string")).alias("recIdList"), F.transform("r", lambda x: F.coalesce(x["item_name"], F.lit(""))).alias("recNameList")))
     return one.select("user_id", line.alias("value"))
