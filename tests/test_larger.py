@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pytest
 
 from prefloom import registry
 
@@ -32,3 +33,36 @@ def test_bounds_at_zero(spark, small, tmp_path):
     odd = "(VALUES (0, 0.0), (1, -0.0), (2, 1e-300), (3, 1e-9), (4, 0.01), (5, -0.01), (6, NULL), (7, 'inf'), (8, '-inf'), (9, 'nan'), (10, -1e9)) v (k, x)"
     d = tables(small, tmp_path, customer="SELECT * REPLACE (x::DOUBLE AS c_acctbal) FROM '{t}' JOIN " + odd + " ON k = c_custkey")
     check(spark, "logistic_bounds", d)
+
+
+def shuffled(spark, work) -> int:
+    """Rows that ``work`` writes to shuffles."""
+    sc = spark.sparkContext
+
+    def written() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    work()
+    return written() - before
+
+
+def run(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+COPIES = "SELECT * REPLACE (p_partkey + 1000 * k AS p_partkey, CASE WHEN k > 0 THEN 'B' ELSE p_brand END AS p_brand) FROM '{t}', range(20) r (k) WHERE p_type = (SELECT min(p_type) FROM '{t}') OR k = 0"
+
+
+@pytest.mark.parametrize("name", ["doc_cosine_in_block", "doc_cosine_in_category", "item_bm25_in_block", "item_bm25_in_category"])
+def test_similar_copies(spark, small, tmp_path, name):
+    """Many items of few names: the SQL's rows, and no pairs in a shuffle."""
+    d = tables(small, tmp_path, part=COPIES)
+    check(spark, name, d)
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    keys = ["p_type", "p_brand"] if name.endswith("block") else ["p_type"]
+    pairs = parts.groupBy(*keys).count().selectExpr("sum(count * count)").first()[0]
+    assert shuffled(spark, lambda: run(registry.QUERIES[name](spark, d))) < pairs / 10
