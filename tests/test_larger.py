@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from prefloom import registry
+from prefloom.sources.tables import order_events
 
 from .oracle import TABLES, same
 
@@ -66,3 +67,26 @@ def test_similar_copies(spark, small, tmp_path, name):
     keys = ["p_type", "p_brand"] if name.endswith("block") else ["p_type"]
     pairs = parts.groupBy(*keys).count().selectExpr("sum(count * count)").first()[0]
     assert shuffled(spark, lambda: run(registry.QUERIES[name](spark, d))) < pairs / 10
+
+
+@pytest.mark.parametrize("name", ["user_unseen_items", "prediction_rows"])
+def test_items_of_queries(spark, small, tmp_path, name, monkeypatch):
+    """Users who have bought nothing, all, the first and the last item of a block; the pairs pass no shuffle."""
+    from prefloom.operators import features, samples
+
+    for module, what, n in ((samples, "ITEMS", 64), (features, "QUERIES", 8)):
+        monkeypatch.setattr(module, what, n, raising=False)
+    orders = "SELECT * REPLACE (CASE WHEN o_orderkey < 20 THEN 50 WHEN o_orderkey < 40 THEN 100 WHEN o_custkey IN (50, 100, 0) THEN 1 ELSE o_custkey END AS o_custkey) FROM '{t}'"
+    lines = "SELECT * FROM '{t}' UNION ALL SELECT l.* REPLACE (p AS l_partkey, CASE WHEN p IN (0, 63, 64, 127, 128) AND odd THEN 25 ELSE 5 END AS l_orderkey) FROM (FROM '{t}' LIMIT 1) l, range(200) r (p), (VALUES (true), (false)) v (odd)"
+    d = tables(small, tmp_path, orders=orders, lineitem=lines, customer="SELECT * REPLACE (c_custkey * 10 AS c_custkey) FROM '{t}'")
+    check(spark, name, d)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables beyond it
+    try:
+        made = registry.QUERIES[name](spark, d)
+        events = shuffled(spark, lambda: run(order_events(spark, d)))
+        assert shuffled(spark, lambda: run(made)) - events < made.count() / 2
+        assert "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
