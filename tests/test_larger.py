@@ -90,3 +90,23 @@ def test_items_of_queries(spark, small, tmp_path, name, monkeypatch):
         assert "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(key, before)
+
+
+def test_unseen_by_bias(spark):
+    """Equal biases, biases that six digits make equal, and users who have rated none, some and nearly all."""
+    from prefloom.models import baseline, bias
+
+    items = [(i, (0.5, 0.5 + 3e-7 * (i % 4), -0.1 * (i % 7), i / 97)[i % 4], 1.0) for i in range(120)]
+    best = sorted(items, key=lambda x: -x[1])
+    rated = [(1, i) for i, _, _ in best[:40]] + [(2, i) for i in range(118)] + [(3, i) for i in range(0, 120, 4)]
+    r = spark.createDataFrame([(u, i, 3.0) for u, i in rated], "user_id long, item_id long, rating double")
+    i = spark.createDataFrame(items, "item_id long, mean double, var double")
+    u = spark.createDataFrame([(k, 0.1 * k, 1.0) for k in range(5)], "user_id long, mean double, var double")
+    m = bias.BiasModel(r, u, i, bias.Prior(), bias.Prior(), 3.0000003, 0.0, 1.0, len(rated))
+    from pyspark.sql import functions as F
+
+    pairs = u.select("user_id").crossJoin(i.select("item_id")).join(r, ["user_id", "item_id"], "left_anti")
+    want = baseline.top_predictions(bias.predict(m, pairs).withColumn("score", F.round("score", 6)), 5)
+    columns = ["user_id", "item_id", "score", "rank"]
+    got = bias.recommend(m, u, 5).select(*columns).collect()
+    assert sorted(got) == sorted(want.select(*columns).collect()) and len(got) == 4 * 5 + 2
