@@ -110,3 +110,15 @@ def test_unseen_by_bias(spark):
     columns = ["user_id", "item_id", "score", "rank"]
     got = bias.recommend(m, u, 5).select(*columns).collect()
     assert sorted(got) == sorted(want.select(*columns).collect()) and len(got) == 4 * 5 + 2
+
+
+def test_als_for_queries(spark, small):
+    """A stated set of users has the lists that it has among all users, to the last digits of float."""
+    from prefloom.models import linear
+
+    events = order_events(spark, small)
+    asked = events.where("user_id % 50 = 0").select("user_id").distinct()
+    lists = lambda df: {(r.user_id, r["rank"]): r.score for r in df.where("user_id % 50 = 0").collect()}
+    got = lists(linear.implicit_als(events, 4, 2, asked))
+    assert got == pytest.approx(lists(linear.implicit_als(events, 4, 2)), abs=1e-5) and len(got) == 10 * asked.count()
+    assert registry.QUERIES["als_implicit"](spark, small).where("user_id % 50 <> 0").count() == 0
