@@ -1,14 +1,15 @@
 """Quality by nearest-neighbour voting on latent-semantic vectors.
 
 Terms are hashed byte trigrams and a few shapes of words. Document frequencies are of all documents.
-A bounded sample of labelled rows is decomposed to latent vectors, which are broadcast; every
-document's vector is compared with all of them in exact blocked products, and its nearest neighbours
-vote with their similarity.
+A bounded sample of labelled rows is decomposed to latent vectors in a task; the driver sees the model
+alone, neither texts nor their matrix, and broadcasts it. Every document's vector is compared with all of
+them in exact blocked products, and its nearest neighbours vote with their similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,29 @@ def decompose(x: np.ndarray, rank: int) -> np.ndarray:
 
 class Model:
     def __init__(self, idf: np.ndarray, texts: list[str], labels: list[int]):
+        self._fit(idf, self.rows(idf, pa.array(texts, pa.string())), labels)
+
+    @classmethod
+    def of(cls, idf: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Model:
+        """Of batches (text, label) whose texts are held one batch at a time."""
+        made, rows, labels = cls.__new__(cls), [], []
+        for batch in batches:
+            rows += cls.rows(idf, batch.column("text"))
+            labels += batch.column("label").to_pylist()
+        made._fit(idf, rows, labels)
+        return made
+
+    @staticmethod
+    def rows(idf: np.ndarray, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms and their weights."""
+        return [(terms, weighed(terms, counts, idf)) for terms, counts in term_counts(column)]
+
+    def _fit(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> None:
         self.idf = idf
-        x = np.zeros((len(texts), len(idf)), np.float32)
-        for row, (terms, counts) in zip(x, term_counts(pa.array(texts, pa.string()))):
-            row[terms] = weighed(terms, counts, idf)
-        self.basis = decompose(x, min(LATENT, len(texts))) if len(texts) else np.zeros((len(idf), 1), np.float32)
+        x = np.zeros((len(rows), len(idf)), np.float32)
+        for row, (terms, weights) in zip(x, rows):
+            row[terms] = weights
+        self.basis = decompose(x, min(LATENT, len(rows))) if len(rows) else np.zeros((len(idf), 1), np.float32)
         self.vectors = unit(x @ self.basis)
         self.labels = np.array(labels, np.float64)
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
@@ -133,9 +152,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     have = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id")
     chosen = stored(rows.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "quality-sample")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.min("text"), F.min("_label"))  # of several texts of a document the least
-    texts = sorted((tuple(r) for r in texts.collect()), key=lambda r: r[0])
-    return Model(idf, [t for _, t, _ in texts], [q for _, _, q in texts])
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("label"))  # of several texts of a document the least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model.of(idf, batches), 5)], pa.binary())], names=["model"])
+
+    made = texts.repartition(1).sortWithinPartitions("doc_id").select("text", "label").mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else Model(idf, [], [])  # an empty plan may have no task
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

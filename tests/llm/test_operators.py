@@ -532,6 +532,19 @@ def test_quality_edges(spark, documents, empty, texts):
     assert quality.accepted(documents, some).columns == documents.columns
 
 
+def test_quality_is_learned_in_a_task(spark, documents, texts, monkeypatch):
+    """Neither the sample's texts nor their matrix reach the driver, and the model is that of plain lists."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    known = sorted({(i, t) for i, t in texts if i is not None and i < 20 and t is not None and zlib.crc32(str(i).encode()) % 3 != 1})
+    with monkeypatch.context() as driver:
+        for name in ("decompose", "weighed"):
+            driver.setattr(quality, name, lambda *a: pytest.fail("the driver learns"))
+        got = quality.learn(documents, labels)
+    want = quality.Model(got.idf, [t for _, t in known], [i % 2 for i, _ in known])
+    assert got.labels.tolist() == want.labels.tolist() and got.prior == want.prior
+    assert np.allclose(abs((got.vectors @ got.vectors.T)), abs(want.vectors @ want.vectors.T), atol=1e-3)
+
+
 def test_exact_neighbours():
     """Blocked products and votes equal a plain loop's."""
     import pyarrow as pa
