@@ -69,6 +69,35 @@ def test_similar_copies(spark, small, tmp_path, name):
     assert shuffled(spark, lambda: run(registry.QUERIES[name](spark, d))) < pairs / 10
 
 
+@pytest.mark.parametrize("name", ["doc_cosine_in_category", "item_bm25_in_category"])
+def test_pairs_leave_flat(spark, small, name):
+    """Pairs come out of their tasks as rows: no arrays of lists are exploded after."""
+    plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    after, made, _ = plan.partition("FlatMapGroupsInArrow")
+    assert made and "Generate" not in after
+
+
+def test_pairs_of_lists(monkeypatch):
+    """Every document of a wording with its list but itself, whatever the sizes of pieces; a place beyond the list leaves it whole."""
+    import numpy as np
+
+    from prefloom.operators import similarity
+
+    b, score = np.array([7, 3, 9, 1, 5]), np.array([0.9, 0.9, 0.5, 0.2, 0.0])
+    a, at = np.array([3, 5, 7, 8]), np.array([1, 4, 0, 5])
+    want = []
+    for x in a:
+        left = [k for k in range(5) if b[k] != x]
+        want += [(x, b[k], score[k], rank) for rank, k in enumerate(left, 1)]
+    for pairs in (1, 3, 8, 100):
+        for members in (1, 3, 100):
+            monkeypatch.setattr(similarity, "PAIRS", pairs)
+            monkeypatch.setattr(similarity, "MEMBERS", members)
+            pieces = list(similarity._pairs(a, at, b, score))
+            assert all(len(p[0]) <= max(pairs, min(members, 4)) for p in pieces)
+            assert sorted(r for p in pieces for r in zip(*p)) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["user_unseen_items", "prediction_rows"])
 def test_items_of_queries(spark, small, tmp_path, name, monkeypatch):
     """Users who have bought nothing, all, the first and the last item of a block; the pairs pass no shuffle."""
