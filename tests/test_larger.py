@@ -121,6 +121,12 @@ def test_items_of_queries(spark, small, tmp_path, name, monkeypatch):
         spark.conf.set(key, before)
 
 
+def test_unseen_of_every_user(spark, small):
+    """All customers, not a stated set of them."""
+    made = registry.QUERIES["user_unseen_items"](spark, small)
+    assert made.select("user_id").distinct().count() == spark.read.parquet(f"{small}/customer.parquet").count()
+
+
 def test_unseen_by_bias(spark):
     """Equal biases, biases that six digits make equal, and users who have rated none, some and nearly all."""
     from prefloom.models import baseline, bias
