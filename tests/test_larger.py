@@ -127,6 +127,21 @@ def test_unseen_of_every_user(spark, small):
     assert made.select("user_id").distinct().count() == spark.read.parquet(f"{small}/customer.parquet").count()
 
 
+def stored(made, folder) -> float:
+    """Bytes of Parquet a row."""
+    made.coalesce(1).write.parquet(f"{folder}/out")
+    n = made.sparkSession.read.parquet(f"{folder}/out").count()
+    return sum(os.path.getsize(f"{folder}/out/{x}") for x in os.listdir(f"{folder}/out") if x.endswith(".parquet")) / n
+
+
+@pytest.mark.parametrize("name, users, items", [("prediction_rows", 120, 1)])
+def test_pairs_in_little(spark, small, tmp_path, name, users, items):
+    """Pairs come in an order that Parquet stores in under a byte a row, though a side has nearly as many keys as a page has rows."""
+    copies = "SELECT * REPLACE (50 * ({k} + 1000 * k) AS {k}) FROM '{{t}}', range({n}) r (k)"
+    d = tables(small, tmp_path, customer=copies.format(k="c_custkey", n=users), part=copies.format(k="p_partkey", n=items))
+    assert stored(registry.QUERIES[name](spark, d), tmp_path) < 1
+
+
 def test_unseen_by_bias(spark):
     """Equal biases, biases that six digits make equal, and users who have rated none, some and nearly all."""
     from prefloom.models import baseline, bias
