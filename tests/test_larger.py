@@ -127,6 +127,13 @@ def test_unseen_of_every_user(spark, small):
     assert made.select("user_id").distinct().count() == spark.read.parquet(f"{small}/customer.parquet").count()
 
 
+def test_unseen_of_odd_keys(spark, small, tmp_path):
+    """Repeated and missing keys on either side are rows of their own."""
+    key = "SELECT * REPLACE (CASE {k} WHEN 3 THEN NULL WHEN 5 THEN 4 ELSE {k} END AS {k}) FROM '{{t}}'"
+    d = tables(small, tmp_path, customer=key.format(k="c_custkey"), part=key.format(k="p_partkey"))
+    check(spark, "user_unseen_items", d)
+
+
 def stored(made, folder) -> float:
     """Bytes of Parquet a row."""
     made.coalesce(1).write.parquet(f"{folder}/out")
@@ -134,7 +141,7 @@ def stored(made, folder) -> float:
     return sum(os.path.getsize(f"{folder}/out/{x}") for x in os.listdir(f"{folder}/out") if x.endswith(".parquet")) / n
 
 
-@pytest.mark.parametrize("name, users, items", [("prediction_rows", 120, 1)])
+@pytest.mark.parametrize("name, users, items", [("user_unseen_items", 1, 120), ("prediction_rows", 120, 1)])
 def test_pairs_in_little(spark, small, tmp_path, name, users, items):
     """Pairs come in an order that Parquet stores in under a byte a row, though a side has nearly as many keys as a page has rows."""
     copies = "SELECT * REPLACE (50 * ({k} + 1000 * k) AS {k}) FROM '{{t}}', range({n}) r (k)"
